@@ -37,13 +37,24 @@ def _all_slices() -> Window:
     return Window.orderBy("_slice")
 
 
-def row_numbers(placed: DataFrame, part: Sequence[str] = (), name: str = "rn") -> DataFrame:
-    """Exact 1-based row number within ``part``; ``placed`` must be sorted by ``part`` first."""
+def row_numbers(
+    placed: DataFrame, part: Sequence[str] = (), name: str = "rn", total: str | None = None
+) -> DataFrame:
+    """Exact 1-based row number within ``part``; ``placed`` must be sorted by ``part`` first.
+
+    ``total`` names an extra column with the number of rows of the part.
+    """
     segments = placed.groupBy("_slice", *part).agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
     before = (Window.partitionBy(*part).orderBy("_slice") if part else _all_slices()).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    segments = segments.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    whole = Window.partitionBy(*part) if part else _all_slices().rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+    segments = segments.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if total:
+        segments = segments.withColumn(total, F.sum("_n").over(whole))
+    segments = segments.drop("_n")
     segments = segments.withColumnsRenamed({"_slice": "_s", **{c: f"_k{i}" for i, c in enumerate(part)}})
     match = F.col("_slice") == F.col("_s")
     for i, c in enumerate(part):
@@ -98,3 +109,32 @@ def top_n_per_group(
     share = share.withColumn(name, F.row_number().over(per_share)).filter(F.col(name) <= n).drop("_share")
     whole = Window.partitionBy(*part).orderBy(*order)
     return share.withColumn(name, F.row_number().over(whole)).filter(F.col(name) <= n)
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """Interpolated quantiles of numeric columns, one row per column: ``field, q0, q1, ...``.
+
+    Values are counted first, so duplicates collapse before the sort, and the sorted
+    distinct values are spread over range slices instead of one aggregation buffer.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in columns])
+    counted = df.select(F.inline(pairs)).filter(F.col("value").isNotNull()).groupBy("field", "value")
+    counted = counted.agg(F.count("*").alias("n"))
+    placed = arrange(counted, "field", "value")
+    upto = running_total(placed, F.col("n"), "upto")
+    # The running total goes on across fields; each field's own start is its first row's.
+    starts = upto.groupBy("field").agg((F.min(F.col("upto") - F.col("n"))).alias("_start"), F.sum("n").alias("_n"))
+    inside = upto.join(starts, "field").withColumn("upto", F.col("upto") - F.col("_start"))
+    aggs = []
+    for i, share in enumerate(shares):
+        at = F.lit(float(share)) * (F.col("_n") - 1)
+        aggs += [
+            F.min(F.when(F.col("upto") > F.floor(at), F.col("value"))).alias(f"lo{i}"),
+            F.min(F.when(F.col("upto") > F.ceil(at), F.col("value"))).alias(f"hi{i}"),
+            F.max(at - F.floor(at)).alias(f"w{i}"),
+        ]
+    found = inside.groupBy("field").agg(*aggs)
+    return found.select("field", *[
+        (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"w{i}")).alias(f"q{i}")
+        for i in range(len(shares))
+    ])

@@ -1,4 +1,4 @@
 """Importing this package fills the query catalogue."""
 
-from flowquarry.plans import flows, packets  # noqa: F401
+from flowquarry.plans import alerting, checks, flows, monitoring, packets, prepare, scoring  # noqa: F401
 from flowquarry.plans.registry import CATALOGUE  # noqa: F401
