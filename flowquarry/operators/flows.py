@@ -19,186 +19,228 @@ from flowquarry.operators.ordered import arrange, running_total
 from flowquarry.operators.packets import only_ip
 from flowquarry.schemas import FEATURES, FLOW
 
+#: Endpoint columns of a flow; inside the operators they are one struct column ``flow``, which
+#: cannot be NULL, so joins on it add no null checks that would be evaluated for every packet.
 KEY = ["a_ip", "a_port", "b_ip", "b_port"]
-FIVE_TUPLE = [*KEY, "ip_proto"]
-#: Packets of the capture per block; bounds the rows of one (key, block) group.
+FLOW_KEY = ["flow"]
+FIVE_TUPLE = ["flow", "ip_proto"]
+#: Packets of the capture per block; bounds the rows of one (flow, block) group.
 BLOCK_ROWS = 1 << 20
 _COUNTERS = ["http_methods", "http_versions", "body_len", "ftp_login", "ftp_commands"]
+# Numbers instead of names while aggregating: fixed-width buffers keep the aggregate hash based.
+_SERVICES = ["-", *net.SERVICE_PORTS.values(), "smtp"]
+_SERVICES = list(dict.fromkeys(_SERVICES))
+_PROTOCOLS = ["tcp", "udp", "icmp", "other"]
+
+
+def _code(name: Column, names: list[str]) -> Column:
+    return F.element_at(net.literal_map({n: i for i, n in enumerate(names)}), name)
+
+
+def _name(code: Column, names: list[str]) -> Column:
+    return F.array(*[F.lit(n) for n in names])[code]
+
+
+def with_endpoints(df: DataFrame) -> DataFrame:
+    """Adds the four endpoint columns of the flow struct."""
+    return df.withColumns({c: F.col(f"flow.{c}") for c in KEY})
 
 
 def keyed_packets(packets: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """IPv4 packets with the canonical endpoint pair, direction, service and payload marks."""
-    df = only_ip(packets)
     has_ports = F.col("ip_proto").isin(net.TCP, net.UDP)
-    df = df.withColumn("src_port", F.when(has_ports, F.col("src_port")).otherwise(0).cast("int"))
-    df = df.withColumn("dst_port", F.when(has_ports, F.col("dst_port")).otherwise(0).cast("int"))
-    fwd = F.struct("src_ip", "src_port") < F.struct("dst_ip", "dst_port")
-    df = df.withColumn("fwd", fwd)
-    for side, (one, two) in {"a": ("src", "dst"), "b": ("dst", "src")}.items():
-        for part in ("ip", "port"):
-            df = df.withColumn(
-                f"{side}_{part}", F.when(F.col("fwd"), F.col(f"{one}_{part}")).otherwise(F.col(f"{two}_{part}"))
-            )
+    df = only_ip(packets).withColumns({
+        "src_port": F.when(has_ports, F.col("src_port")).otherwise(0).cast("int"),
+        "dst_port": F.when(has_ports, F.col("dst_port")).otherwise(0).cast("int"),
+    })
+    df = df.withColumn("fwd", F.struct("src_ip", "src_port") < F.struct("dst_ip", "dst_port"))
     text = F.when(net.is_tcp(), F.col("payload"))
-    return (
-        df.withColumn("block", F.floor(F.col("seq") / F.lit(block_rows)).cast("bigint"))
-        .withColumn("tcp", net.is_tcp())
-        .withColumn("svc", net.packet_service())
-        .withColumn("dns", net.is_dns())
-        .withColumn("http_methods", F.coalesce(net.http_method_seen(text), F.lit(0)))
-        .withColumn("http_versions", F.coalesce(net.http_version_seen(text), F.lit(0)))
-        .withColumn("body_len", F.coalesce(net.content_length(text), F.lit(0)))
-        .withColumn("ftp_login", F.coalesce(net.ftp_login_seen(text), F.lit(0)))
-        .withColumn("ftp_commands", F.coalesce(net.ftp_command_seen(text), F.lit(0)))
-    )
-
 
-def _order_sensitive() -> Column:
-    """Flows whose payload counters depend on which packet came first.
+    def pair(one: str, two: str) -> Column:
+        return F.struct(
+            F.col(f"{one}_ip").alias("a_ip"), F.col(f"{one}_port").alias("a_port"),
+            F.col(f"{two}_ip").alias("b_ip"), F.col(f"{two}_port").alias("b_port"),
+        )
+
+    return df.withColumns({
+        "flow": F.when(F.col("fwd"), pair("src", "dst")).otherwise(pair("dst", "src")),
+        "block": F.floor(F.col("seq") / F.lit(block_rows)).cast("bigint"),
+        "tcp": F.coalesce(net.is_tcp(), F.lit(False)), "dns": F.coalesce(net.is_dns(), F.lit(False)),
+        "svc": _code(net.packet_service(), _SERVICES), "proto": _code(net.flow_protocol(F.col("ip_proto")), _PROTOCOLS),
+        "order_sensitive": _order_sensitive(F.col("src_port"), F.col("dst_port")),
+        "http_methods": F.coalesce(net.http_method_seen(text), F.lit(0)),
+        "http_versions": F.coalesce(net.http_version_seen(text), F.lit(0)),
+        "body_len": F.coalesce(net.content_length(text), F.lit(0)),
+        "ftp_login": F.coalesce(net.ftp_login_seen(text), F.lit(0)),
+        "ftp_commands": F.coalesce(net.ftp_command_seen(text), F.lit(0)),
+    })
+
+
+def _order_sensitive(a: Column, b: Column) -> Column:
+    """Flows whose payload counters depend on which packet came first; symmetric in the ports.
 
     With a known port on either side every TCP or UDP packet names the same service
     from the start, so plain sums are exact. Otherwise the service starts at some
     payload, and a mapped web or ftp port opposite port 53 may be taken over by DNS.
     """
-    a, b = F.col("a_port"), F.col("b_port")
-    unmapped = net.port_service(a, b).isNull()
+    mapped = a.isin(list(net.SERVICE_PORTS)) | b.isin(list(net.SERVICE_PORTS))
     dns_takeover = ((a == 53) & b.isin(80, 21)) | ((b == 53) & a.isin(80, 21))
-    return unmapped | dns_takeover
+    return ~mapped | dns_takeover
 
 
 def _where(condition: Column, value: Column) -> Column:
     return F.when(condition, value)
 
 
-def flow_base(keyed: DataFrame, key: list[str] = KEY) -> DataFrame:
+def flow_base(keyed: DataFrame, key: list[str] = FLOW_KEY) -> DataFrame:
     """Every feature that needs no neighbouring packet, in one hash aggregation."""
-    fwd, rev, seq, t = F.col("fwd"), ~F.col("fwd"), F.col("seq"), F.col("t")
-
-    def first(cond: Column, name: str) -> Column:
-        return F.min_by(name, _where(cond, seq))
-
-    def last(cond: Column, name: str) -> Column:
-        return F.max_by(name, _where(cond, seq))
-
-    tcp = F.col("tcp")
-    aggs = [
-        F.min_by("t", "seq").alias("first_time"),
-        F.max_by("t", "seq").alias("last_time"),
-        F.min_by("fwd", "seq").alias("first_fwd"),
-        F.count(_where(fwd, seq)).alias("spkts"),
-        F.count(_where(rev, seq)).alias("dpkts"),
-        F.coalesce(F.sum(_where(fwd, F.col("len"))), F.lit(0)).cast("bigint").alias("sbytes"),
-        F.coalesce(F.sum(_where(rev, F.col("len"))), F.lit(0)).cast("bigint").alias("dbytes"),
-        F.min_by(net.flow_protocol(F.col("ip_proto")), "seq").alias("proto"),
-        F.min_by("svc", _where(F.col("svc") != "-", seq)).alias("_svc"),
-        F.min(_where(F.col("svc") != "-", seq)).alias("_svc_seq"),
-        F.min(_where(F.col("dns"), seq)).alias("_dns_seq"),
-        F.coalesce(F.bit_or(_where(tcp, F.col("flags"))), F.lit(0)).cast("int").alias("flag_union"),
-        F.coalesce(first(fwd & (F.col("ttl") != 0), "ttl"), F.lit(0)).cast("int").alias("sttl"),
-        F.coalesce(first(rev & (F.col("ttl") != 0), "ttl"), F.lit(0)).cast("int").alias("dttl"),
-        F.coalesce(first(tcp & fwd & (F.col("win") != 0), "win"), F.lit(0)).cast("int").alias("swin"),
-        F.coalesce(first(tcp & rev & (F.col("win") != 0), "win"), F.lit(0)).cast("int").alias("dwin"),
-        F.coalesce(last(tcp & fwd, "tcp_seq"), F.lit(0)).cast("bigint").alias("stcpb"),
-        F.coalesce(last(tcp & rev, "tcp_seq"), F.lit(0)).cast("bigint").alias("dtcpb"),
-        (last(fwd, "t") - first(fwd, "t")).alias("_sspan"),
-        (last(rev, "t") - first(rev, "t")).alias("_dspan"),
-        *[F.sum(c).alias(f"_{c}") for c in _COUNTERS],
-    ]
-    base = keyed.groupBy(*key).agg(*aggs)
-    total = F.col("spkts") + F.col("dpkts")
+    aggs = {
+        "first_time": "min_by(t, seq)",
+        "last_time": "max_by(t, seq)",
+        "first_fwd": "min_by(fwd, seq)",
+        "spkts": "count_if(fwd)",
+        "dpkts": "count_if(NOT fwd)",
+        "sbytes": "coalesce(sum(len) FILTER (WHERE fwd), 0L)",
+        "dbytes": "coalesce(sum(len) FILTER (WHERE NOT fwd), 0L)",
+        "_proto": "min_by(proto, seq)",
+        "_svc": "min_by(svc, seq) FILTER (WHERE svc > 0)",
+        "_dns": "max(dns)",
+        "flag_union": "coalesce(bit_or(flags) FILTER (WHERE tcp), 0)",
+        "sttl": "coalesce(min_by(ttl, seq) FILTER (WHERE fwd AND ttl <> 0), 0)",
+        "dttl": "coalesce(min_by(ttl, seq) FILTER (WHERE NOT fwd AND ttl <> 0), 0)",
+        "swin": "coalesce(min_by(win, seq) FILTER (WHERE tcp AND fwd AND win <> 0), 0)",
+        "dwin": "coalesce(min_by(win, seq) FILTER (WHERE tcp AND NOT fwd AND win <> 0), 0)",
+        "stcpb": "coalesce(max_by(tcp_seq, seq) FILTER (WHERE tcp AND fwd), 0L)",
+        "dtcpb": "coalesce(max_by(tcp_seq, seq) FILTER (WHERE tcp AND NOT fwd), 0L)",
+        "_sspan": "max_by(t, seq) FILTER (WHERE fwd) - min_by(t, seq) FILTER (WHERE fwd)",
+        "_dspan": "max_by(t, seq) FILTER (WHERE NOT fwd) - min_by(t, seq) FILTER (WHERE NOT fwd)",
+        "order_sensitive": "max(order_sensitive)",
+        **{f"_{c}": f"sum({c})" for c in _COUNTERS},
+    }
+    base = keyed.groupBy(*key).agg(*[F.expr(text).alias(name) for name, text in aggs.items()])
     first_time, last_time = F.col("first_time"), F.col("last_time")
-    base = base.withColumn(
-        "dur",
-        finite(F.when((first_time != 0) & (last_time != 0), last_time - first_time).otherwise(F.lit(0.0))),
-    )
+    total = F.col("spkts") + F.col("dpkts")
+    elapsed = F.when((first_time != 0) & (last_time != 0), last_time - first_time)
+    base = with_endpoints(base).withColumns({
+        "dur": finite(elapsed), "packets": total, "proto": _name(F.col("_proto"), _PROTOCOLS),
+    })
 
     def per_second(amount: Column) -> Column:
-        return finite(F.when(F.col("dur") > 0, ratio(amount, F.col("dur"))).otherwise(F.lit(0.0)))
-
-    service = F.when(F.col("_dns_seq").isNotNull(), "dns").otherwise(F.coalesce(F.col("_svc"), F.lit("-")))
-    return (
-        base.withColumn("packets", total)
-        .withColumn("service", service)
-        .withColumn("state", F.when(F.col("proto") == "tcp", net.tcp_state(F.col("flag_union"))).otherwise("INT"))
-        .withColumn("rate", per_second(total))
-        .withColumn("sload", per_second(F.col("sbytes")))
-        .withColumn("dload", per_second(F.col("dbytes")))
-        .withColumn("smean", ratio(F.col("sbytes"), F.col("spkts")))
-        .withColumn("dmean", ratio(F.col("dbytes"), F.col("dpkts")))
-        .withColumn("sinpkt", finite(F.when(F.col("spkts") >= 2, ratio(F.col("_sspan"), F.col("spkts") - 1))))
-        .withColumn("dinpkt", finite(F.when(F.col("dpkts") >= 2, ratio(F.col("_dspan"), F.col("dpkts") - 1))))
-    )
+        return F.when(F.col("dur") > 0, amount / F.col("dur")).otherwise(F.lit(0.0))
+
+    def mean_gap(span: str, count: str) -> Column:
+        return finite(F.when(F.col(count) >= 2, ratio(F.col(span), F.col(count) - 1)))
 
+    service = F.when(F.col("_dns"), "dns").otherwise(_name(F.coalesce(F.col("_svc"), F.lit(0)), _SERVICES))
+    return base.withColumns({
+        "service": service,
+        "state": F.when(F.col("proto") == "tcp", net.tcp_state(F.col("flag_union"))).otherwise("INT"),
+        "rate": per_second(F.col("packets")), "sload": per_second(F.col("sbytes")), "dload": per_second(F.col("dbytes")),
+        "smean": ratio(F.col("sbytes"), F.col("spkts")), "dmean": ratio(F.col("dbytes"), F.col("dpkts")),
+        "sinpkt": mean_gap("_sspan", "spkts"), "dinpkt": mean_gap("_dspan", "dpkts"),
+    })
 
-def spread_lookup(rows: DataFrame, per_key: DataFrame, key: list[str]) -> DataFrame:
+
+def spread_lookup(rows: DataFrame, per_flow: DataFrame, key: list[str]) -> DataFrame:
     """Give each packet row the values of its flow without gathering a flow in one task.
 
-    The values are first copied to the (key, block) pairs that occur, a small table,
-    and then joined on (key, block): at most one block of packets meets in a task.
+    The values are first copied to the (flow, block) pairs that occur, a small table,
+    and then joined on (flow, block): at most one block of packets meets in a task.
     """
     pairs = rows.select(*key, "block").distinct()
-    return rows.join(pairs.join(per_key, key), [*key, "block"])
+    return rows.join(pairs.join(per_flow, key), [*key, "block"])
+
 
+def late_counters(keyed: DataFrame, key: list[str] = FLOW_KEY) -> DataFrame:
+    """Counters of order-sensitive flows: only packets from the one that fixed the service
+    onwards count, and none from a DNS takeover onwards.
 
-def payload_counters(keyed: DataFrame, base: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """HTTP and FTP counters; only packets from the one that fixed the service onwards count."""
+    Marked packets are summed per (flow, block), once for each way a block can lie to the
+    start and the stop; what happened in other blocks then decides which sum is right.
+    """
+    cell = [*key, "block"]
     marked = F.greatest(*[F.col(c).cast("bigint") for c in _COUNTERS]) > 0
-    hits = keyed.filter(marked & _order_sensitive()).select(*key, "block", "seq", *_COUNTERS)
-    starts = base.filter(_order_sensitive() & F.col("_svc").isin("http", "ftp"))
-    hits = spread_lookup(hits, starts.select(*key, "_svc_seq", "_dns_seq"), key)
-    counted = hits.filter(
-        (F.col("seq") >= F.col("_svc_seq")) & (F.col("_dns_seq").isNull() | (F.col("seq") < F.col("_dns_seq")))
+    rows = keyed.filter("order_sensitive").filter(marked | (F.col("svc") > 0) | F.col("dns"))
+    inside = Window.partitionBy(*cell)
+    rows = rows.select(*cell, "seq", "svc", "dns", *_COUNTERS).withColumns({
+        "first": F.min(_where(F.col("svc") > 0, F.col("seq"))).over(inside),
+        "stop": F.min(_where(F.col("dns"), F.col("seq"))).over(inside),
+    })
+    started = F.col("seq") >= F.col("first")
+    running = F.col("stop").isNull() | (F.col("seq") < F.col("stop"))
+    ways = {"all": F.lit(True), "from": started, "until": running, "both": started & running}
+    sums = [F.sum(_where(way, F.col(c))).alias(f"{w}_{c}") for w, way in ways.items() for c in _COUNTERS]
+    cells = rows.groupBy(*cell).agg(
+        F.min_by("svc", _where(F.col("svc") > 0, F.col("seq"))).alias("svc"), F.min("stop").alias("stop"), *sums
     )
-    late = counted.groupBy(*key).agg(*[F.sum(c).alias(f"late_{c}") for c in _COUNTERS])
-    out = base.join(late, key, "left")
+    # One row per flow and block from here on.
+    whole = Window.partitionBy(*key)
+    cells = cells.withColumns({
+        "begin": F.min(_where(F.col("svc").isNotNull(), F.col("block"))).over(whole),
+        "end": F.min(_where(F.col("stop").isNotNull(), F.col("block"))).over(whole),
+    })
+    block, begin, end = F.col("block"), F.col("begin"), F.col("end")
+    after, at_end = block > begin, F.coalesce(block == end, F.lit(False))
+    kept = cells.filter((block >= begin) & (end.isNull() | (block <= end)))
+
+    def right_sum(c: str) -> Column:
+        return (
+            F.when(after & ~at_end, F.col(f"all_{c}")).when(after, F.col(f"until_{c}"))
+            .when(~at_end, F.col(f"from_{c}")).otherwise(F.col(f"both_{c}"))
+        )
+
+    return kept.groupBy(*key).agg(
+        F.max(_where(block == begin, F.col("svc"))).alias("late_svc"), *[F.sum(right_sum(c)).alias(f"late_{c}") for c in _COUNTERS]
+    )
+
 
+def payload_counters(keyed: DataFrame, base: DataFrame, key: list[str] = FLOW_KEY) -> DataFrame:
+    """HTTP and FTP counters: plain sums where order cannot matter, gated ones elsewhere."""
     def counter(name: str, service: str) -> Column:
         plain = F.when(F.col("service") == service, F.col(f"_{name}"))
-        gated = F.when(F.col("_svc") == service, F.col(f"late_{name}"))
-        return F.coalesce(F.when(_order_sensitive(), gated).otherwise(plain), F.lit(0))
-
-    return (
-        out.withColumn("ct_flw_http_mthd", counter("http_methods", "http").cast("int"))
-        .withColumn("trans_depth", counter("http_versions", "http").cast("int"))
-        .withColumn("response_body_len", counter("body_len", "http").cast("bigint"))
-        .withColumn("is_ftp_login", flag(counter("ftp_login", "ftp") > 0))
-        .withColumn("ct_ftp_cmd", counter("ftp_commands", "ftp").cast("int"))
-        .drop(*[f"late_{c}" for c in _COUNTERS])
-    )
+        gated = F.when(F.col("late_svc") == _SERVICES.index(service), F.col(f"late_{name}"))
+        return F.coalesce(F.when(F.col("order_sensitive"), gated).otherwise(plain), F.lit(0))
 
+    return base.join(late_counters(keyed, key), key, "left").withColumns({
+        "ct_flw_http_mthd": counter("http_methods", "http").cast("int"),
+        "trans_depth": counter("http_versions", "http").cast("int"),
+        "response_body_len": counter("body_len", "http").cast("bigint"),
+        "is_ftp_login": flag(counter("ftp_login", "ftp") > 0),
+        "ct_ftp_cmd": counter("ftp_commands", "ftp").cast("int"),
+    })
 
-def jitter(keyed: DataFrame, key: list[str] = KEY) -> DataFrame:
+
+def jitter(keyed: DataFrame, key: list[str] = FLOW_KEY) -> DataFrame:
     """Mean absolute deviation of the absolute packet gaps, per flow and direction.
 
-    Gaps inside a block come from a window on (key, direction, block). The gap across
-    a block edge comes from one row per block. The mean goes back to the gaps on
-    (key, direction, block), so both exchanges of the packets are the same one.
+    Gaps inside a block come from a window on the cell (flow, direction, block). The first
+    packet of a cell has none; its gap crosses the block edge and comes from one row per
+    cell. The mean gap goes back to the packets on the cell, which is the exchange they
+    already have, so packets are moved once and a cell holds at most one block.
     """
     side = [*key, "fwd"]
-    cell = [*side, "block"]
-    gaps = keyed.select(*cell, "seq", "t").withColumn(
-        "gap", F.abs(F.col("t") - F.lag("t").over(Window.partitionBy(*cell).orderBy("seq")))
+    cell = F.struct(*side, F.coalesce("block", F.lit(0)).alias("block")).alias("cell")
+    gaps = keyed.select(cell, "seq", "t").withColumn(
+        "gap", F.abs(F.col("t") - F.lag("t").over(Window.partitionBy("cell").orderBy("seq")))
     )
-    cells = gaps.groupBy(*cell).agg(
+    cells = gaps.groupBy("cell").agg(
         F.min_by("t", "seq").alias("start"), F.max_by("t", "seq").alias("end"),
         F.count("*").alias("n"), F.sum("gap").alias("gap_sum"),
     )
-    cells = cells.withColumn(
-        "edge", F.abs(F.col("start") - F.lag("end").over(Window.partitionBy(*side).orderBy("block")))
-    )
-    every = Window.partitionBy(*side)
-    gap_total = F.sum(F.coalesce(F.col("gap_sum"), F.lit(0.0)) + F.coalesce(F.col("edge"), F.lit(0.0))).over(every)
-    cells = cells.withColumn("n_gaps", F.sum("n").over(every) - 1)
+    cells = cells.select("*", *[F.col(f"cell.{c}").alias(c) for c in side])
+    line = Window.partitionBy(*side)
+    cells = cells.withColumn("edge", F.abs(F.col("start") - F.lag("end").over(line.orderBy("cell.block"))))
+    total = F.sum(F.coalesce("gap_sum", F.lit(0.0)) + F.coalesce("edge", F.lit(0.0))).over(line)
+    cells = cells.withColumns({"n_gaps": F.sum("n").over(line) - 1, "total": total})
     # Fewer than two gaps give no jitter.
-    cells = cells.withColumn("mean_gap", F.when(F.col("n_gaps") >= 2, gap_total / F.col("n_gaps")))
-    cells = cells.filter(F.col("mean_gap").isNotNull())
-    inner = gaps.filter(F.col("gap").isNotNull()).join(cells.select(*cell, "mean_gap"), cell)
-    spread = inner.select(*side, F.abs(F.col("gap") - F.col("mean_gap")).alias("dev")).unionByName(
-        cells.filter(F.col("edge").isNotNull()).select(*side, F.abs(F.col("edge") - F.col("mean_gap")).alias("dev"))
+    means = cells.filter(F.col("n_gaps") >= 2).select("cell", "edge", (F.col("total") / F.col("n_gaps")).alias("mean"))
+    spread = gaps.join(means, "cell").select(
+        "cell", F.abs(F.coalesce("gap", "edge") - F.col("mean")).alias("dev")
     )
-    return spread.groupBy(*key).agg(
-        F.coalesce(F.avg(_where(F.col("fwd"), F.col("dev"))), F.lit(0.0)).alias("sjit"),
-        F.coalesce(F.avg(_where(~F.col("fwd"), F.col("dev"))), F.lit(0.0)).alias("djit"),
+    fwd = F.col("cell.fwd")
+    return spread.groupBy(*[F.col(f"cell.{c}").alias(c) for c in key]).agg(
+        F.coalesce(F.avg(_where(fwd, F.col("dev"))), F.lit(0.0)).alias("sjit"),
+        F.coalesce(F.avg(_where(~fwd, F.col("dev"))), F.lit(0.0)).alias("djit"),
     )
 
 
@@ -222,19 +264,17 @@ def tracking_surrogates(flows: DataFrame) -> DataFrame:
         "ttl": (F.col("sttl") + F.col("dttl")).cast("bigint"),
         "packets": F.col("spkts") + F.col("dpkts"),
     }
-    for name, (cap, source, step) in SURROGATES.items():
-        steps = F.floor(sources[source] / F.lit(step)).cast("int")
-        flows = flows.withColumn(name, F.least(F.lit(cap), F.greatest(F.lit(1), steps)))
-    return flows
+    return flows.withColumns({
+        name: F.least(F.lit(cap), F.greatest(F.lit(1), F.floor(sources[source] / F.lit(step)).cast("int")))
+        for name, (cap, source, step) in SURROGATES.items()
+    })
 
 
 def compat_constants(flows: DataFrame) -> DataFrame:
     """Columns that stay 0 in the default feature set: loss, handshake times, same endpoints."""
-    for name in ("sloss", "dloss"):
-        flows = flows.withColumn(name, F.lit(0).cast("bigint"))
-    for name in ("tcprtt", "synack", "ackdat"):
-        flows = flows.withColumn(name, F.lit(0.0))
-    return flows.withColumn("is_sm_ips_ports", F.lit(0))
+    zeros = {name: F.lit(0).cast("bigint") for name in ("sloss", "dloss")}
+    zeros |= {name: F.lit(0.0) for name in ("tcprtt", "synack", "ackdat")}
+    return flows.withColumns(zeros | {"is_sm_ips_ports": F.lit(0)})
 
 
 def feature_columns() -> list[Column]:
@@ -274,7 +314,7 @@ def flow_features(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The flow table: key columns, first and last time, packet count and the 42 features."""
-    key = {"endpoints": KEY, "five_tuple": FIVE_TUPLE}[key_mode]
+    key = {"endpoints": FLOW_KEY, "five_tuple": FIVE_TUPLE}[key_mode]
     keyed = keyed_packets(packets, block_rows)
     flows = payload_counters(keyed, flow_base(keyed, key), key)
     flows = flows.join(jitter(keyed, key), key, "left")
@@ -286,10 +326,10 @@ def flow_features(
     flows = tracking_surrogates(flows)
     if features == "extended":
         flows = recent_connections(flows)
-    return flows.select(*key, "first_time", "last_time", "first_fwd", "packets", *feature_columns())
+    return flows.select(*KEY, *key[1:], "first_time", "last_time", "first_fwd", "packets", *feature_columns())
 
 
-def retransmissions(keyed: DataFrame, key: list[str] = KEY) -> DataFrame:
+def retransmissions(keyed: DataFrame, key: list[str] = FLOW_KEY) -> DataFrame:
     """Loss per direction: TCP packets whose sequence number was seen before.
 
     Counting per (key, direction, sequence number) first keeps a hot flow spread out.
@@ -301,7 +341,7 @@ def retransmissions(keyed: DataFrame, key: list[str] = KEY) -> DataFrame:
     )
 
 
-def handshake(keyed: DataFrame, key: list[str] = KEY) -> DataFrame:
+def handshake(keyed: DataFrame, key: list[str] = FLOW_KEY) -> DataFrame:
     """SYN to SYN-ACK, SYN-ACK to the first later ACK, and their sum, in seconds."""
     bits = F.col("flags")
     syn = F.col("tcp") & (bits.bitwiseAND(F.lit(18)) == 2)
@@ -322,7 +362,7 @@ def handshake(keyed: DataFrame, key: list[str] = KEY) -> DataFrame:
     return out.select(*key, "synack", "ackdat", (F.col("synack") + F.col("ackdat")).alias("tcprtt"))
 
 
-def extended_features(flows: DataFrame, keyed: DataFrame, key: list[str] = KEY) -> DataFrame:
+def extended_features(flows: DataFrame, keyed: DataFrame, key: list[str] = FLOW_KEY) -> DataFrame:
     """Measured loss, handshake times and same-endpoint flag instead of the constants."""
     plain = flows.drop("sloss", "dloss", "tcprtt", "synack", "ackdat", "is_sm_ips_ports")
     out = plain.join(retransmissions(keyed, key), key, "left").join(handshake(keyed, key), key, "left")

@@ -114,7 +114,7 @@ def _base_query(name, covers, columns, digits=6):
 
 @query("flow_keys", "C01", f"WITH {KEYED_SQL} SELECT seq, {_KEYS}, fwd FROM kd")
 def _(spark, folder):
-    return L.keyed_packets(packets(spark, folder)).select("seq", *L.KEY, "fwd")
+    return L.keyed_packets(packets(spark, folder)).select("seq", "flow.*", "fwd")
 
 
 _base_query("flow_counts_and_bytes", "C03", ["spkts", "dpkts", "sbytes", "dbytes"])
@@ -145,7 +145,7 @@ def _(spark, folder):
 @query("flow_jitter", "C15", f"""WITH {FLOWS_SQL}
 SELECT {_KEYS}, {rounded_sql(["sjit", "djit"], 4)} FROM fl WHERE spkts >= 3 OR dpkts >= 3""")
 def _(spark, folder):
-    return L.jitter(L.keyed_packets(packets(spark, folder))).select(*L.KEY, *rounded(["sjit", "djit"], 4))
+    return L.jitter(L.keyed_packets(packets(spark, folder))).select("flow.*", *rounded(["sjit", "djit"], 4))
 
 
 @query("flow_feature_table", "C22 C23 L1", f"WITH {FLOWS_SQL} SELECT {_KEYS}, {rounded_sql(FEATURES, 4)} FROM fl")
@@ -170,7 +170,7 @@ SELECT {_KEYS}, (count(*) FILTER (fwd) - count(DISTINCT tcp_seq) FILTER (fwd))::
 FROM (SELECT * REPLACE (tcp_seq % 7 AS tcp_seq) FROM kd WHERE ip_proto = 6) GROUP BY {_GROUP}""")
 def _(spark, folder):
     coarse = packets(spark, folder).withColumn("tcp_seq", F.col("tcp_seq") % 7)
-    return L.retransmissions(L.keyed_packets(coarse))
+    return L.retransmissions(L.keyed_packets(coarse)).select("flow.*", "sloss", "dloss")
 
 
 @query("flow_recent_connections", "C19", f"""WITH {FLOWS_SQL}
@@ -200,7 +200,7 @@ SELECT {_KEYS}, round(sa_t - syn_t, 4) AS synack, round(coalesce(ack_t - sa_t, 0
   round(sa_t - syn_t + coalesce(ack_t - sa_t, 0), 4) AS tcprtt FROM h2 WHERE sa_t IS NOT NULL""")
 def _(spark, folder):
     times = L.handshake(L.keyed_packets(packets(spark, folder)))
-    return times.select(*L.KEY, *[F.round(c, 4).alias(c) for c in ("synack", "ackdat", "tcprtt")])
+    return times.select("flow.*", *[F.round(c, 4).alias(c) for c in ("synack", "ackdat", "tcprtt")])
 
 
 @query("flow_ids", "C24")
@@ -217,4 +217,4 @@ def _(spark, folder):
 SELECT {_KEYS}, ip_proto, count(*) FILTER (fwd) AS spkts, count(*) FILTER (NOT fwd) AS dpkts FROM kd GROUP BY ALL""")
 def _(spark, folder):
     keyed = L.keyed_packets(packets(spark, folder))
-    return L.flow_base(keyed, L.FIVE_TUPLE).select(*L.FIVE_TUPLE, "spkts", "dpkts")
+    return L.flow_base(keyed, L.FIVE_TUPLE).select(*L.KEY, "ip_proto", "spkts", "dpkts")

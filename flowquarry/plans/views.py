@@ -25,11 +25,8 @@ def packets(spark: SparkSession, folder: str) -> DataFrame:
     """One IPv4 packet per event, between a client per user and a server per event type."""
     df = events(spark, folder)
     kind, n = F.col("event_type"), F.col("event_id")
-    server_ip = F.lit(None)
-    server_port = F.lit(None)
-    for name, (ip, port) in _SERVER.items():
-        server_ip = F.when(kind == name, ip).otherwise(server_ip)
-        server_port = F.when(kind == name, port).otherwise(server_port)
+    server_ip = F.element_at(net.literal_map({k: ip for k, (ip, _) in _SERVER.items()}), kind)
+    server_port = F.element_at(net.literal_map({k: port for k, (_, port) in _SERVER.items()}), kind)
     user = F.col("user_id")
     client_ip = F.concat(
         F.lit("10.0."), F.floor(user / 256).cast("bigint").cast("string"), F.lit("."), (user % 256).cast("string")
