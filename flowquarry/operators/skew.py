@@ -17,7 +17,9 @@ def salted_lookup(
     The lookup is repeated per salt. No broadcast hint: when it is small at run time
     the adaptive plan broadcasts it anyway, and otherwise the salt keeps tasks even.
     """
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
+    # Never NULL, so the join adds no null check that would hash every input row once more.
+    salt = F.coalesce(F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"), F.lit(0))
+    rows = rows.withColumn("_salt", salt)
     spread = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.join(spread, [*on, "_salt"], how).drop("_salt")
 
