@@ -72,20 +72,20 @@ def _(spark, folder):
 
 def _mixed_entries(spark, folder):
     """Entries that are objects, text holding an object, or neither."""
-    n = F.col("seq")
+    text = F.col("payload")
     item = F.to_json(F.struct(F.col("t").alias("timestamp"), F.col("len").alias("length"), F.lit("eth0").alias("interface")))
-    entry = F.when(n % 3 == 0, item).when(n % 3 == 1, F.concat(F.lit("  "), item)).otherwise(F.lit("17"))
+    entry = F.when(text == "", F.lit("17")).when(text.startswith("GET"), F.concat(F.lit("  "), item)).otherwise(item)
     return packets(spark, folder).select(
         F.lit("b").alias("batch_id"), F.col("t").alias("batch_time"), F.col("seq").alias("pos"), entry.alias("entry")
     )
 
 
-@query("entry_normaliser", "A05", f"WITH {PACKETS_SQL} SELECT seq AS pos, len AS length, 'eth0' AS interface FROM pk WHERE seq % 3 <> 2")
+@query("entry_normaliser", "A05", f"WITH {PACKETS_SQL} SELECT seq AS pos, len AS length, 'eth0' AS interface FROM pk WHERE payload <> ''")
 def _(spark, folder):
     return captures.normalise_entries(_mixed_entries(spark, folder))[0].select("pos", "length", "interface")
 
 
-@query("entry_rejects", "A05 A15", f"WITH {PACKETS_SQL} SELECT seq AS pos, '17' AS entry FROM pk WHERE seq % 3 = 2")
+@query("entry_rejects", "A05 A15", f"WITH {PACKETS_SQL} SELECT seq AS pos, '17' AS entry FROM pk WHERE payload = ''")
 def _(spark, folder):
     path = staging_path(spark, "quarantine")
     sinks.write_quarantine(captures.normalise_entries(_mixed_entries(spark, folder))[1], path, "not a packet")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowquarry.operators import flows as L
 from flowquarry.operators import sessions as S
@@ -137,23 +138,19 @@ def _(spark, folder):
 
 
 @query("stream_batch_quarantine", "K02 K09 A15", f"""WITH {PACKETS_SQL}
-SELECT 'packet' AS kind, count(*) AS n FROM pk UNION ALL SELECT 'quarantine', count(*) FROM events WHERE event_id % 100 = 0""")
+SELECT 'packet' AS kind, count(*) AS n FROM pk UNION ALL SELECT 'quarantine', count(DISTINCT seq // 100) FROM pk""")
 def _(spark, folder):
     path = staging_path(spark, "envelopes")
     rows = packets(spark, folder)
     captures.batch_json(rows).write.text(path)
     # One damaged envelope per good one.
-    damaged = rows.filter(F.col("seq") % 100 == 0).select(F.concat(F.lit('{"batch_id": '), F.col("seq").cast("string")).alias("value"))
+    numbers = rows.select(F.floor(F.col("seq") / 100).cast("string").alias("n")).distinct()
+    damaged = numbers.select(F.concat(F.lit('{"batch_id": '), "n").alias("value"))
     damaged.write.mode("append").text(path)
-    stream = jobs.read_stream(spark, path, captures_schema(), "text")
+    stream = jobs.read_stream(spark, path, T.StructType([T.StructField("value", T.StringType())]), "text")
     out, bad = staging_path(spark, "decoded"), staging_path(spark, "undecodable")
     jobs.drain(jobs.start(stream, jobs.batch_sink(out, bad), staging_path(spark, "envelope-state")))
     good = spark.read.parquet(out).agg(F.count("*").alias("n")).select(F.lit("packet").alias("kind"), "n")
     lost = spark.read.json(bad).agg(F.count("*").alias("n")).select(F.lit("quarantine").alias("kind"), "n")
     return good.unionByName(lost)
 
-
-def captures_schema():
-    from pyspark.sql import types as T
-
-    return T.StructType([T.StructField("value", T.StringType())])

@@ -152,8 +152,11 @@ def test_decode_ipv6_arp_vlan_options_fragment(spark):
 def test_decode_raw_ip_and_short_frames(spark):
     bare = decoded(spark, FRAME[14:], link=frames.RAW_IP)[0]
     assert (bare["src_ip"], bare["dst_port"]) == ("192.168.1.2", 443)
-    short = decoded(spark, b"\x01\x02", b"")
+    short = decoded(spark, b"\x01\x02", b"", FRAME[:20])
     assert all(r["src_ip"] is None and r["ethertype"] is None for r in short)
+    rows = spark.createDataFrame([(0, bytearray(FRAME[:20])), (1, bytearray(FRAME))], "seq bigint, frame binary")
+    packets = frames.decode_frames(rows).withColumn("t", F.lit(1.0))
+    assert [r["packets"] for r in L.flow_features(packets).collect()] == [1]
 
 
 def capture(records, order="<", magic=0xA1B2C3D4):
