@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 def local_session(cores: int | str = "*", partitions: int = 8, name: str = "flowquarry") -> SparkSession:
     """A single-machine session for tests and the bench; clusters bring their own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -24,6 +25,28 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "flow
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application.
+
+    The archive is made beside the driver; Spark itself hands it to every executor.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="flowquarry-code-"), "flowquarry"), "zip", os.path.dirname(root),
+        os.path.basename(root),
+    )
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -58,6 +81,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table; zone-less timestamps are read as UTC instants."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     df = spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
     for field in df.schema.fields:
         if field.dataType.typeName() == "timestamp_ntz":
