@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm import language, simhash
+from flowquarry.llm import language, mixing, packing, simhash
 from flowquarry.llm.common import held_out, load, staged
 
 
@@ -20,9 +20,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
     return simhash.deduplicate(docs)
 
 
+def weighted_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Mixing: sources weigh 3, 1, 2, repeating, and share 150% of all words; repeated documents come as repeated rows."""
+    return mixing.take(docs, F.array("source"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Packing: the token ids of all documents in sequences of at most 2048, a row per piece."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("language", known_languages),
     ("simhash", near_duplicates),
+    ("mixing", weighted_sources),
+    ("packing", packed),
 ]
 
 #: Fingerprints and random hyperdimensional vectors have no SQL form; tests hold run() against plain Python.

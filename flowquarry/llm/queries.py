@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm import language, simhash
+from flowquarry.llm import language, mixing, packing, simhash
 from flowquarry.llm.common import held_out, load
 
 
@@ -24,9 +24,26 @@ def document_languages(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def packed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens, a row per piece."""
+    return packing.pack(load(spark, folder, "documents"), with_ids=False)
+
+
+def mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Words taken from every document when its source gets its target."""
+    docs = load(spark, folder, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix(docs, F.array("source"))
+    first = F.col("mixed.targets")[0]
+    taken = F.col("mixed.size") * F.size("mixed.homes")
+    return mixed.select("doc_id", "mixed.size", first["size"].alias("source_size"), first["target"].alias("target"),
+                        taken.cast("long").alias("taken"))
+
+
 QUERIES = {
     "op4_simhash": near_documents,
+    "op5_packing": packed_documents,
     "op8_language": document_languages,
+    "op9_mixing": mixed_sources,
 }
 
 SQL: dict[str, str] = {}
