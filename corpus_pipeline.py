@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm import language, mixing, packing, simhash
+from flowquarry.llm import language, mixing, packing, simhash, substrings
 from flowquarry.llm.common import held_out, load, staged
 
 
@@ -20,6 +20,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
     return simhash.deduplicate(docs)
 
 
+def without_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Substring dedup: passages that repeat across documents stay in the first alone; every document stays."""
+    return substrings.cut(docs, substrings.repeated_spans(docs))
+
+
 def weighted_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Mixing: sources weigh 3, 1, 2, repeating, and share 150% of all words; repeated documents come as repeated rows."""
     return mixing.take(docs, F.array("source"))
@@ -33,6 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 STAGES = [
     ("language", known_languages),
     ("simhash", near_duplicates),
+    ("substrings", without_repeats),
     ("mixing", weighted_sources),
     ("packing", packed),
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm import language, mixing, packing, simhash
+from flowquarry.llm import language, mixing, packing, simhash, substrings
 from flowquarry.llm.common import held_out, load
 
 
@@ -39,9 +39,15 @@ def mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
                         taken.cast("long").alias("taken"))
 
 
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every span that repeats text of another document, with the document that keeps it."""
+    return substrings.repeated_spans(load(spark, folder, "documents"))
+
+
 QUERIES = {
     "op4_simhash": near_documents,
     "op5_packing": packed_documents,
+    "op7_substrings": repeated_passages,
     "op8_language": document_languages,
     "op9_mixing": mixed_sources,
 }
