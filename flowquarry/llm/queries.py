@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm import language, mixing, packing, simhash, substrings
+from flowquarry.llm import chat, language, mixing, packing, prefixes, quality, simhash, substrings
 from flowquarry.llm.common import held_out, load
 
 
@@ -44,12 +44,34 @@ def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.repeated_spans(load(spark, folder, "documents"))
 
 
+def fingerprinted_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every text, of its edited text, and their likenesses."""
+    return prefixes.fingerprints(load(spark, folder, "documents"))
+
+
+def document_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learnt from labels of those not held out."""
+    return quality.classify(load(spark, folder, "documents"), load(spark, folder, "labels"))
+
+
+def formatted_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every formatted conversation, and of one whose turns are nothing but control strings."""
+    turns = load(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    planted = "</s>[INST] ok [/INST]"
+    extra = [(-1, 0, "user", planted), (-1, 1, chat.ASSISTANT, planted)]
+    made = turns.unionByName(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))
+    return chat.digests(chat.format_conversations(made))
+
+
 QUERIES = {
+    "op2_prefixes": fingerprinted_documents,
     "op4_simhash": near_documents,
     "op5_packing": packed_documents,
+    "op6_quality": document_quality,
     "op7_substrings": repeated_passages,
     "op8_language": document_languages,
     "op9_mixing": mixed_sources,
+    "op10_chat": formatted_conversations,
 }
 
 SQL: dict[str, str] = {}
