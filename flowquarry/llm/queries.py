@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm import chat, language, mixing, packing, prefixes, quality, simhash, substrings
+from flowquarry.llm import chat, forest, language, mixing, packing, prefixes, quality, simhash, substrings
 from flowquarry.llm.common import held_out, load
 
 
@@ -63,7 +63,13 @@ def formatted_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.format_conversations(made))
 
 
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return forest.nearest(load(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
+    "op1_forest": nearest_vectors,
     "op2_prefixes": fingerprinted_documents,
     "op4_simhash": near_documents,
     "op5_packing": packed_documents,
