@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm import chat, forest, language, mixing, packing, prefixes, quality, simhash, substrings
+from flowquarry.llm import chat, forest, language, mixing, packing, prefixes, quality, scoring, simhash, substrings
 from flowquarry.llm.common import held_out, load
 
 
@@ -68,9 +68,18 @@ def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return forest.nearest(load(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def scored_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Language-model scores of every document, learnt from those not held out."""
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    found = scoring.score(docs, scoring.training(7))
+    return found.select("doc_id", held_out(F.col("doc_id"), 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
+                        "score")
+
+
 QUERIES = {
     "op1_forest": nearest_vectors,
     "op2_prefixes": fingerprinted_documents,
+    "op3_scoring": scored_documents,
     "op4_simhash": near_documents,
     "op5_packing": packed_documents,
     "op6_quality": document_quality,
