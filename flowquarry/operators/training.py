@@ -14,10 +14,12 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowquarry.operators import metrics, prepare
+from flowquarry.operators.skew import one_row
 
 # Searched settings of the boosted trees.
 BOOSTED_GRID = {
@@ -32,7 +34,7 @@ def boosted_trees(**settings) -> GBTClassifier:
 
 def perceptron(inputs: int, hidden: Sequence[int] = MLP_HIDDEN, **settings) -> MultilayerPerceptronClassifier:
     """Two classes; sigmoid hidden layers and l-bfgs are what MLlib offers."""
-    return MultilayerPerceptronClassifier(layers=[inputs, *hidden, 2], seed=42, **{"maxIter": 50, **settings})
+    return MultilayerPerceptronClassifier(layers=[inputs, *hidden, 2], seed=42, **{"maxIter": 200, **settings})
 
 
 def random_forest(**settings) -> RandomForestClassifier:
@@ -66,8 +68,6 @@ def score_with(models: dict[str, Transformer], df: DataFrame) -> DataFrame:
 def evaluate(model: Transformer, df: DataFrame) -> DataFrame:
     """Binary metrics and log loss in one row."""
     out = predictions(model, df).select("label", "pred", "p")
-    from flowquarry.operators.skew import one_row
-
     return one_row(metrics.binary_metrics(out), metrics.log_loss(out))
 
 
@@ -85,6 +85,7 @@ class SearchResult:
     best: dict[str, float]
     scores: list[dict] = field(default_factory=list)
     model: Model | None = None
+    refused: str = ""
 
     def as_table(self, spark) -> DataFrame:
         rows = [(str(s["settings"]), float(s["mean"]), float(s["std"])) for s in self.scores]
@@ -104,11 +105,11 @@ def random_search(
     )
     try:
         fitted = cv.fit(train)
-    except Exception:
+    except IllegalArgumentException as error:  # settings the estimator refuses; anything else is a failure
         if defaults is None:
             raise
         model = assembled(classifier.copy({classifier.getParam(k): v for k, v in defaults.items()}), columns).fit(train)
-        return SearchResult(defaults, [], model)
+        return SearchResult(defaults, [], model, str(error))
     scores = [
         {"settings": {p.name: v for p, v in m.items()}, "mean": mean, "std": std}
         for m, mean, std in zip(chosen, fitted.avgMetrics, fitted.stdMetrics, strict=True)
@@ -197,14 +198,19 @@ def save_models(models: dict[str, PipelineModel], path: str) -> None:
         model.write().overwrite().save(f"{path}/{name}")
 
 
+def _exists(path: str) -> bool:
+    """Whether a folder is there, on whatever file system its path names."""
+    spark = SparkSession.getActiveSession()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def load_models(path: str, names: Sequence[str]) -> dict[str, PipelineModel]:
     """Saved models by name; a missing one is left out."""
     found = {}
     for name in names:
-        try:
+        if _exists(f"{path}/{name}/metadata"):
             found[name] = PipelineModel.load(f"{path}/{name}")
-        except Exception as error:  # noqa: BLE001 - Spark raises Py4J and analysis errors for missing paths
-            print(f"model {name} is not available: {type(error).__name__}")
     return found
 
 

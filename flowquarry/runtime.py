@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -60,7 +61,8 @@ def work_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(folder)
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    # One process, no other machine: "local", "local[8]". A "local-cluster" has executors of its own.
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="flowquarry-")
     spark.sparkContext.setCheckpointDir(folder)
