@@ -415,6 +415,8 @@ def recent_connections(flows: DataFrame, window_seconds: float = 3600.0) -> Data
     return flows.drop(*names).join(counts, KEY)
 
 
-def flow_id(buckets: int = 1_000_000) -> Column:
-    """Reproducible small id of a flow, from its key."""
-    return F.pmod(F.xxhash64(*KEY), F.lit(buckets))
+def flow_id(buckets: int | None = None) -> Column:
+    """Reproducible id of a flow, from its key: 60 bits, or a small number below ``buckets`` where ids may collide."""
+    line = F.concat_ws("|", *[F.col(c).cast("string") for c in KEY])
+    number = F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("bigint")
+    return number if buckets is None else F.pmod(number, F.lit(buckets))

@@ -203,7 +203,10 @@ def _(spark, folder):
     return times.select("flow.*", *[F.round(c, 4).alias(c) for c in ("synack", "ackdat", "tcprtt")])
 
 
-@query("flow_ids", "C24")
+FLOW_ID_SQL = f"CAST('0x' || substr(md5(concat_ws('|', {_KEYS})), 1, 15) AS BIGINT)"
+
+
+@query("flow_ids", "C24", f"WITH {FLOWS_SQL} SELECT {_KEYS}, {FLOW_ID_SQL} AS id FROM fl")
 def _(spark, folder):
     return base(spark, folder).select(*L.KEY, L.flow_id().alias("id"))
 
