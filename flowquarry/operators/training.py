@@ -24,7 +24,10 @@ from flowquarry.operators.skew import one_row
 # Searched settings of the boosted trees.
 BOOSTED_GRID = {
     "maxIter": [50, 100, 150], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.1, 0.2], "subsamplingRate": [0.8, 1.0],
+    "featureSubsetStrategy": ["0.8", "1.0"], "minInfoGain": [0.0, 0.1, 0.2],
 }
+#: Boosting rounds after which the settings of a search are compared.
+SEARCH_ROUNDS = 10
 MLP_HIDDEN = (128, 64)
 
 
@@ -66,9 +69,9 @@ def score_with(models: dict[str, Transformer], df: DataFrame) -> DataFrame:
 
 
 def evaluate(model: Transformer, df: DataFrame) -> DataFrame:
-    """Binary metrics and log loss in one row."""
+    """Binary metrics, log loss and the number of rows in one row."""
     out = predictions(model, df).select("label", "pred", "p")
-    return one_row(metrics.binary_metrics(out), metrics.log_loss(out))
+    return one_row(metrics.binary_metrics(out), metrics.log_loss(out), out.agg(F.count("*").alias("rows")))
 
 
 def sampled_grid(classifier: Estimator, grid: dict[str, list], n: int, seed: int = 42) -> list[dict]:
@@ -94,13 +97,20 @@ class SearchResult:
 
 def random_search(
     train: DataFrame, columns: Sequence[str], classifier: Estimator, grid: dict[str, list], n: int = 15,
-    folds: int = 3, fold: str = "fold", parallelism: int = 4, defaults: dict | None = None,
+    folds: int = 3, fold: str = "fold", parallelism: int = 4, defaults: dict | None = None, rounds: int | None = None,
 ) -> SearchResult:
-    """Cross-validated random search on given folds; falls back to the defaults when fitting fails."""
+    """Cross-validated random search on given folds; falls back to the defaults when settings are refused.
+
+    With ``rounds`` all settings are compared after so many iterations, which is
+    far cheaper; the best ones are then fitted on all rows with their own number.
+    """
     chosen = sampled_grid(classifier, grid, n)
+    tried = chosen if rounds is None else [
+        {p: min(rounds, v) if p.name == "maxIter" else v for p, v in settings.items()} for settings in chosen
+    ]
     judge = MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label")
     cv = CrossValidator(
-        estimator=assembled(classifier, columns), estimatorParamMaps=chosen, evaluator=judge, numFolds=folds,
+        estimator=assembled(classifier, columns), estimatorParamMaps=tried, evaluator=judge, numFolds=folds,
         foldCol=fold, parallelism=parallelism, seed=42,
     )
     try:
@@ -114,8 +124,9 @@ def random_search(
         {"settings": {p.name: v for p, v in m.items()}, "mean": mean, "std": std}
         for m, mean, std in zip(chosen, fitted.avgMetrics, fitted.stdMetrics, strict=True)
     ]
-    best = max(scores, key=lambda s: s["mean"])["settings"]
-    return SearchResult(best, scores, fitted.bestModel)
+    top = max(range(len(scores)), key=lambda i: scores[i]["mean"])
+    model = fitted.bestModel if rounds is None else assembled(classifier.copy(chosen[top]), columns).fit(train)
+    return SearchResult(scores[top]["settings"], scores, model)
 
 
 @dataclass
@@ -141,7 +152,7 @@ def train_progressively(
         part = ranked.filter(F.col("rn") <= F.floor(F.col("n_class") * F.lit(share)))
         model = assembled(classifier, columns).fit(part)
         on_train, on_val = evaluate(model, part).first(), evaluate(model, val).first()
-        row = {"round": number, "share": share, "train_size": part.count()}
+        row = {"round": number, "share": share, "train_size": int(on_train["rows"])}
         for name in ("accuracy", "precision", "recall", "f1", "log_loss"):
             row[f"train_{name}"], row[f"val_{name}"] = float(on_train[name]), float(on_val[name])
         history.append(row)

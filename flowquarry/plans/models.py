@@ -53,17 +53,14 @@ def _(spark, folder):
 def _prepared(spark, folder):
     # Status and service are known for every row; the label comes from the return flag.
     ready = M.prepare_training(training(spark, folder), _CATEGORIES, TRAIN_NUMERIC, TRAIN_KEY, _ORDER)
-    fold = F.col("mix") % 3
+    fold = F.col("mix") % 5
     return M.Prepared(
         *[d.withColumn("fold", fold.cast("int")) for d in (ready.train, ready.val, ready.test)], ready.codes, ready.scaler
     )
 
 
 def _base_models():
-    return {
-        "forest": M.random_forest(numTrees=10, maxDepth=4), "mlp": M.perceptron(len(_FEATURES), (8,), maxIter=20),
-        "xgb": M.boosted_trees(maxIter=5, maxDepth=3),
-    }
+    return {"forest": M.random_forest(), "mlp": M.perceptron(len(_FEATURES)), "xgb": M.boosted_trees()}
 
 
 def _test_scores(spark, folder, classifier):
@@ -73,12 +70,12 @@ def _test_scores(spark, folder, classifier):
 
 @query("boosted_trees", "F03")
 def _(spark, folder):
-    return _test_scores(spark, folder, M.boosted_trees(maxIter=10))
+    return _test_scores(spark, folder, M.boosted_trees())
 
 
 @query("perceptron", "F04")
 def _(spark, folder):
-    return _test_scores(spark, folder, M.perceptron(len(_FEATURES), maxIter=20))
+    return _test_scores(spark, folder, M.perceptron(len(_FEATURES)))
 
 
 @query("random_forest_baseline", "F05")
@@ -97,7 +94,7 @@ def _(spark, folder):
 def _(spark, folder):
     ready = _prepared(spark, folder)
     models = M.fit_base_models(ready.train, _FEATURES, _base_models())
-    meta = M.fit_stacking(ready.train, _FEATURES, _base_models())
+    meta = M.fit_stacking(ready.train, _FEATURES, _base_models(), folds=5)
     weights = dict.fromkeys(models, 1.0)
     scored = M.stack(meta, M.score_with(models, ready.test))
     return scored.select(*TRAIN_KEY, "label", H.vote("stacking", weights).alias("prediction"), "p_stack")
@@ -105,25 +102,25 @@ def _(spark, folder):
 
 @query("random_search", "F09 F10")
 def _(spark, folder):
+    """15 draws of the whole grid, compared after ``SEARCH_ROUNDS`` rounds; the best is fitted again with all of its own."""
     ready = _prepared(spark, folder)
-    grid = {"maxDepth": [2, 3], "stepSize": [0.1, 0.2], "maxIter": [3]}
-    found = M.random_search(ready.train, _FEATURES, M.boosted_trees(), grid, n=3)
-    return K.top_settings(found.as_table(spark))
+    found = M.random_search(ready.train, _FEATURES, M.boosted_trees(), M.BOOSTED_GRID, folds=5, rounds=M.SEARCH_ROUNDS)
+    on_val = M.evaluate(found.model, ready.val).first()
+    return K.top_settings(found.as_table(spark)).withColumn("best_val_accuracy", F.lit(float(on_val["accuracy"])))
 
 
 @query("progressive_training", "F11 F13")
 def _(spark, folder):
     ready = _prepared(spark, folder)
     ranked = E.ranked_in_class(ready.train, _ORDER)
-    return M.train_progressively(ranked, ready.val, _FEATURES, M.random_forest(numTrees=5), rounds=3).as_table(spark)
+    return M.train_progressively(ranked, ready.val, _FEATURES, M.random_forest()).as_table(spark)
 
 
 @query("learning_curve", "F14")
 def _(spark, folder):
+    """Ten shares by five folds; every fold is held out once."""
     ready = _prepared(spark, folder)
-    return M.learning_curve(
-        ready.train, _FEATURES, M.random_forest(numTrees=5, maxDepth=3), _ORDER, shares=(0.5, 1.0), folds=2
-    )
+    return M.learning_curve(ready.train, _FEATURES, M.random_forest(numTrees=10), _ORDER)
 
 
 @query("saved_models", "F15 F16 L3")
