@@ -198,9 +198,15 @@ def apply_actions(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     )
 
 
-def newest_per_severity(alerts: DataFrame, n: int = PER_SEVERITY) -> DataFrame:
+def newest_per_severity(alerts: DataFrame, n: int = PER_SEVERITY, keep_one_more: bool = False) -> DataFrame:
+    """Bounded list of every severity; ``keep_one_more`` counts like a list trimmed at index n."""
     order = [F.desc("ts"), F.desc("seq")]
-    return top_n_per_group(alerts, ["severity"], order, n, F.col("seq"))
+    return top_n_per_group(alerts, ["severity"], order, n + int(keep_one_more), F.col("seq"))
+
+
+def newest_overall(alerts: DataFrame, n: int = OVERALL, keep_one_more: bool = False) -> DataFrame:
+    """Bounded list over all severities."""
+    return newest(alerts, n, keep_one_more)
 
 
 def newest(rows: DataFrame, n: int = HISTORY, keep_one_more: bool = False, tie: str = "seq") -> DataFrame:

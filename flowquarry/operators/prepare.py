@@ -14,6 +14,10 @@ from flowquarry.operators.skew import salted_lookup
 from flowquarry.schemas import CATEGORICAL, FEATURES, NUMERIC, REQUIRED
 
 
+#: Entries up to which a dictionary of category codes is broadcast: a few MB at the most.
+MOST_CODES = 20_000
+
+
 def drop_columns(df: DataFrame, names: Sequence[str] = ("id", "attack_cat")) -> DataFrame:
     """Remove the named columns; absent ones are ignored."""
     return df.drop(*names)
@@ -89,11 +93,16 @@ def encoder_fit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def encoder_transform(df: DataFrame, codes: DataFrame, columns: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """Replace categories by codes; a value never seen while fitting becomes code 0."""
+    """Replace categories by codes; a value never seen while fitting becomes code 0.
+
+    A dictionary of at most ``MOST_CODES`` entries, as counted here, is broadcast
+    and the rows stay where they are; a larger one is joined on salted keys.
+    """
+    small = codes.limit(MOST_CODES + 1).count() <= MOST_CODES
     for c in columns:
         known = codes.filter(F.col("field") == c).select(F.col("value").alias(c), F.col("code").alias("_code"))
         df = df.withColumn(c, F.col(c).cast("string"))
-        df = salted_lookup(df, known, [c], key, "left")
+        df = df.join(F.broadcast(known), c, "left") if small else salted_lookup(df, known, [c], key, "left")
         df = df.withColumn(c, F.coalesce(F.col("_code"), F.lit(0))).drop("_code")
     return df
 

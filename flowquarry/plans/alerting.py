@@ -191,6 +191,11 @@ def _(spark, folder):
     return I.newest_per_severity(normal).select("severity", "rn", "seq")
 
 
+@query("newest_overall", "I15", f"WITH {ALERTS_SQL} SELECT seq, type FROM al ORDER BY ts DESC, seq DESC LIMIT 10001")
+def _(spark, folder):
+    return I.newest_overall(alerts(spark, folder), keep_one_more=True).select("seq", "type")
+
+
 @query("alert_history", "I16", f"WITH {ALERTS_SQL} SELECT seq, type FROM al ORDER BY ts DESC, seq DESC LIMIT 1000")
 def _(spark, folder):
     return I.newest(alerts(spark, folder)).select("seq", "type")
