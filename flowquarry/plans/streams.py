@@ -97,6 +97,29 @@ def _(spark, folder):
     )
 
 
+@query("stream_late_rows", "K01 K02 K05", f"""WITH {PACKETS_SQL}
+SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_start, count(*) AS packets, sum(len)::BIGINT AS bytes FROM pk GROUP BY 1""")
+def _(spark, folder):
+    """Four waves of files, a restart from the checkpoint before each: the older half, the newer, the oldest again, an end mark.
+
+    The third wave comes after its windows are closed, so it must change nothing; the mark closes the last window.
+    """
+    rows = packets(spark, folder).select("ts", "len")
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    middle = first + (last - first) / 2
+    waves = [
+        rows.filter(F.col("ts") <= F.lit(middle)), rows.filter(F.col("ts") > F.lit(middle)),
+        rows.filter(F.col("ts") <= F.lit(middle) - F.expr("INTERVAL 2 HOURS")),
+        rows.limit(1).withColumn("ts", F.lit(last) + F.expr("INTERVAL 2 HOURS")),
+    ]
+    path, state_path, out = (staging_path(spark, f"late-{n}") for n in ("in", "state", "out"))
+    for wave in waves:
+        wave.write.mode("append").parquet(path)
+        stream = jobs.read_stream(spark, path, rows.schema)
+        jobs.drain(jobs.start(jobs.windowed_counts(stream, "1 hour"), jobs.into_table(out), state_path))
+    return spark.read.parquet(out).drop("batch").withColumn("window_start", F.unix_micros("window_start"))
+
+
 @query("stream_sessions", "K08", f"""WITH {PACKETS_SQL}, g AS (SELECT src_ip, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 20000
     SECOND, true) AS starts FROM pk WINDOW w AS (PARTITION BY src_ip ORDER BY ts)),
 s AS (SELECT *, sum(starts::INT) OVER (PARTITION BY src_ip ORDER BY ts) AS n FROM g)
