@@ -119,13 +119,19 @@ def throughput_by_window(packets: DataFrame, width: str = "1 minute", slide: str
     return counted.select(F.col("w.start").alias("window_start"), "packets", "bytes")
 
 
-def snapshot(services: DataFrame, counters: DataFrame) -> DataFrame:
-    """One record of the state of services and counters."""
+def snapshot(services: DataFrame, counters: DataFrame, *blocks: DataFrame) -> DataFrame:
+    """One record of the state of services and counters, and of further one-row blocks (host, store)."""
     state = services.agg(
         F.count("*").alias("services"), F.count_if(F.col("status") == "healthy").alias("healthy"),
         F.avg("uptime_percentage").alias("mean_uptime"),
     )
-    return one_row(state, counters)
+    return one_row(state, counters, *blocks)
+
+
+def newest_sample(rows: DataFrame, order: str) -> DataFrame:
+    """The row of greatest ``order`` as one row, by an aggregate; nothing is sorted."""
+    fields = F.max_by(F.struct(*rows.columns), order)
+    return rows.agg(fields.alias("newest")).select("newest.*")
 
 
 def node_counters(probes: DataFrame) -> DataFrame:

@@ -71,10 +71,7 @@ _DEFAULTS_SQL = ", ".join(f"'{v}' AS {k}" for k, v in J.STORE_DEFAULTS.items() i
 @query("store_metrics", "J04", f"""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE '0' END
   AS keyspace_hits, {_DEFAULTS_SQL} FROM events""")
 def _(spark, folder):
-    info = F.when(
-        F.col("event_id") % 2 == 0, F.create_map(F.lit("keyspace_hits"), F.col("user_id").cast("string"))
-    ).otherwise(F.create_map().cast("map<string,string>"))
-    return events(spark, folder).select("event_id", *J.store_metrics(info))
+    return _store(spark, folder)
 
 
 @query("global_counters", "J05", f"""WITH {PACKETS_SQL}, {ALERTS_SQL}
@@ -115,16 +112,32 @@ def _(spark, folder):
     return t.withColumns({c: F.round(c, 9) for c in rates})
 
 
-@query("snapshot", "J10", f"""WITH {_UPTIME_SQL}, {ALERTS_SQL}
+def _store(spark, folder):
+    info = F.when(
+        F.col("event_id") % 2 == 0, F.create_map(F.lit("keyspace_hits"), F.col("user_id").cast("string"))
+    ).otherwise(F.create_map().cast("map<string,string>"))
+    return events(spark, folder).select("event_id", *J.store_metrics(info))
+
+
+@query("snapshot", "J10", f"""WITH {_UPTIME_SQL}, {ALERTS_SQL}, {_SAMPLE_SQL}
 SELECT count(*) AS services, count(*) FILTER (status = 'healthy') AS healthy, round(avg((total_checks - error_count)
   / total_checks * 100), 6) AS mean_uptime, (SELECT count(*) FROM events) AS packets_captured,
   (SELECT count(*) FROM (SELECT DISTINCT user_id, event_type FROM events)) AS features_extracted,
-  (SELECT count(*) FROM al) AS alerts_generated, (SELECT count(*) FROM al WHERE type = 'intrusion') AS threats_detected
+  (SELECT count(*) FROM al) AS alerts_generated, (SELECT count(*) FROM al WHERE type = 'intrusion') AS threats_detected,
+  (SELECT cpu_percent FROM sm ORDER BY event_id DESC LIMIT 1) AS cpu_percent,
+  (SELECT memory_percent FROM sm ORDER BY event_id DESC LIMIT 1) AS memory_percent, 75.0::DOUBLE AS disk_percent,
+  (SELECT CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE '0' END FROM events ORDER BY event_id DESC LIMIT 1)
+    AS keyspace_hits, {_DEFAULTS_SQL}
 FROM up""")
 def _(spark, folder):
     rows = packets(spark, folder)
     counters = J.global_counters(rows, L.flow_base(L.keyed_packets(rows)), alerts(spark, folder))
-    return J.snapshot(J.uptime(health(spark, folder)), counters).withColumn("mean_uptime", F.round("mean_uptime", 6))
+    host = J.newest_sample(J.system_metrics(_samples(spark, folder)), "packets_sent")
+    store = J.newest_sample(_store(spark, folder), "event_id").drop("event_id")
+    record = J.snapshot(
+        J.uptime(health(spark, folder)), counters, host.select("cpu_percent", "memory_percent", "disk_percent"), store
+    )
+    return record.withColumn("mean_uptime", F.round("mean_uptime", 6))
 
 
 @query("node_counters", "J11", f"""WITH {HEALTH_SQL} SELECT node, count(*) AS checks, count(*) FILTER (code = 200) AS answered,
