@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,4 +91,28 @@ QUERIES = {
     "op10_chat": formatted_conversations,
 }
 
-SQL: dict[str, str] = {}
+def _formatted_sql() -> str:
+    """Digests of the conversations, and the length of their formatted text from the lengths of its parts."""
+    planted = "</s>[INST] ok [/INST]"
+    control = "|".join(re.escape(c) for pair in (*chat.MARKS.values(), chat.ROLE) for c in pair)
+
+    def escaped(text: str) -> str:
+        doubled = f"replace({text}, '\\', '\\\\')"
+        return f"length({doubled}) + len(regexp_extract_all({doubled}, '{control}'))"
+
+    marks = " ".join(f"WHEN '{role}' THEN {sum(map(len, pair))}" for role, pair in chat.MARKS.items())
+    other = sum(map(len, chat.ROLE)) + sum(map(len, chat.MARKS["user"]))
+    order = "ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST"
+    body = "coalesce(text, '')"
+    return f"""WITH t AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{planted}' UNION ALL SELECT -1, 1, '{chat.ASSISTANT}', '{planted}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || {body} || chr(10), '' {order})) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = '{chat.ASSISTANT}'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg({body}, '' {order}) FILTER (role = '{chat.ASSISTANT}'), '')) AS loss_sha256,
+  sum({escaped(body)} + CASE role {marks} ELSE {other} + {escaped("coalesce(role, '')")} END)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
+SQL: dict[str, str] = {
+    "op10_chat": _formatted_sql(),
+}

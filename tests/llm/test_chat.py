@@ -54,6 +54,14 @@ def test_query_against_plain_python(spark, folder):
     assert len(got) == len(want) and all(r.formatted_chars > 0 for r in got)
 
 
+def test_query_equals_its_sql(spark, folder, duck):
+    from oracle import differences
+
+    from flowquarry.llm.queries import SQL
+
+    assert differences(formatted_conversations(spark, folder), duck, SQL["op10_chat"]) == []
+
+
 def test_edge_rows(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (2, None, None, "x"), (2, 5, "user", "y"), (None, 0, "assistant", "z"),
             (3, 0, "assistant", "long " * 60000), (4, 0, "user", "same"), (4, 0, "user", "same")]
