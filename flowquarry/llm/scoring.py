@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import bounded, held_out, staged
+from flowquarry.llm.common import ROWS_PER_BATCH, bounded, held_out, staged
 from flowquarry.llm.succinct import CHILD_BITS, Trie, mapped
 
 #: Weight of the prior, in words: how often a context must be seen to count as much as the words alone.
@@ -91,9 +91,8 @@ def _deal(shards: int, hot):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        # Places of documents in a batch are 16-bit numbers, whatever size of batch the session asks for.
+        for batch in (b.slice(i, ROWS_PER_BATCH) for b in batches for i in range(0, b.num_rows, ROWS_PER_BATCH)):
             number += 1
             ids, out, texts = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
             hashes, tokens, sizes = hashed_words(texts)
