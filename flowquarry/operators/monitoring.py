@@ -145,5 +145,5 @@ def node_counters(probes: DataFrame) -> DataFrame:
 
 def live_status(rows: DataFrame, seconds: int = 300) -> DataFrame:
     """Status rows that have not outlived their time to live, counted from the newest row."""
-    newest = rows.agg(F.max("ts").alias("_newest")).first()["_newest"]
-    return rows.filter(F.col("ts") > F.lit(newest) - F.make_interval(secs=F.lit(seconds)))
+    newest = rows.agg(F.max("ts")).scalar()  # a scalar subquery: nothing runs while the plan is made
+    return rows.filter(F.col("ts") > newest - F.make_interval(secs=F.lit(seconds)))
