@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowquarry.functions import net
 from flowquarry.functions.numeric import ratio
 from flowquarry.operators.skew import one_row
 
@@ -143,6 +144,24 @@ def node_counters(probes: DataFrame) -> DataFrame:
     )
 
 
+def service_counters(packets: DataFrame, probes: DataFrame, batch_size: int = 100) -> DataFrame:
+    """Per node: packets captured, bytes, IPv4 packets stored, batches, flows extracted, API calls and failed ones.
+
+    ``packets`` and ``probes`` carry the ``node`` that did the work; a node known to one of them has zeros for the rest.
+    """
+    work = packets.groupBy("node").agg(
+        F.count("*").alias("captured"), F.sum("len").alias("bytes"), F.count_if(F.col("ethertype") == net.IPV4).alias("stored"),
+        F.ceil(F.count("*") / F.lit(batch_size)).cast("bigint").alias("batches"),
+    )
+    ends = [F.struct(F.col(f"{e}_ip").alias("ip"), F.col(f"{e}_port").alias("port")) for e in ("src", "dst")]
+    # Distinct flows of a node first, so that a node with most packets is counted from many tasks.
+    flows = packets.select("node", F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
+    flows = flows.groupBy("node").agg(F.count("*").alias("features"))
+    calls = probes.groupBy("node").agg(F.count("*").alias("api_calls"), F.count_if(F.col("code").isNull()).alias("errors"))
+    joined = work.join(flows, "node", "full").join(calls, "node", "full")
+    return joined.na.fill(0)
+
+
 def live_status(rows: DataFrame, seconds: int = 300) -> DataFrame:
     """Status rows that have not outlived their time to live, counted from the newest row."""
     newest = rows.agg(F.max("ts")).scalar()  # a scalar subquery: nothing runs while the plan is made

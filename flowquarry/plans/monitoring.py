@@ -146,6 +146,17 @@ def _(spark, folder):
     return J.node_counters(health(spark, folder)).withColumn("busy_ms", F.round("busy_ms", 4))
 
 
+@query("service_counters", "J11", f"""WITH {PACKETS_SQL}, {HEALTH_SQL}
+SELECT n.node, captured, bytes, stored, batches, features, api_calls, errors FROM (SELECT 'node-' || CAST(user_id % 4 AS VARCHAR) AS node,
+    count(*) AS captured, sum(40 + CAST(floor(value * 10) AS BIGINT))::BIGINT AS bytes, count(*) AS stored,
+    CAST(ceil(count(*) / 100.0) AS BIGINT) AS batches, count(DISTINCT (user_id, event_type)) AS features FROM events GROUP BY 1) n
+  JOIN (SELECT node, count(*) AS api_calls, count(*) FILTER (code IS NULL) AS errors FROM hl GROUP BY node) c ON c.node = n.node""")
+def _(spark, folder):
+    client = F.when(F.col("seq") % 3 == 0, F.col("dst_port")).otherwise(F.col("src_port")) - 20000
+    rows = packets(spark, folder).withColumn("node", F.concat(F.lit("node-"), (client % 4).cast("string")))
+    return J.service_counters(rows, health(spark, folder))
+
+
 @query("newest_results", "A13", "SELECT event_id, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000")
 def _(spark, folder):
     return I.newest(events(spark, folder), 1000, tie="event_id").select("event_id", "value")
