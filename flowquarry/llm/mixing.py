@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import WORD, staged, unused
+from flowquarry.llm.common import WORD, discard, staged, unused
 
 MOST_PATTERNS = 10_000
 
@@ -178,6 +178,7 @@ def mix(
     ranges = table.join(low, ["pattern", "first"], "left").join(high, ["pattern", "last"], "left")
     ranges = ranges.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("first", "last", "source", "low", "high"))).alias("ranges"))
     ranges = staged(ranges, "thresholds")
+    discard(narrow)
 
     key, mine, hit = (unused(n, [*docs.columns, mixed]) for n in ("_pattern", "_ranges", "_h"))
     out = docs.withColumn(key, pattern).withColumn(hit, _order(docs, seed))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import ROWS_PER_BATCH, bounded, held_out, staged
+from flowquarry.llm.common import ROWS_PER_BATCH, bounded, discard, held_out, staged
 from flowquarry.llm.succinct import CHILD_BITS, Trie, mapped
 
 #: Weight of the prior, in words: how often a context must be seen to count as much as the words alone.
@@ -203,6 +203,7 @@ def _model(docs: DataFrame, learn: Column, prior: float, shard_tokens: int):
     total, distinct, texts = (int(x) for x in facts)
     shards = max(1, math.ceil(total / shard_tokens))
     frequent = sorted((r.word % 2**64, r["count"]) for r in counts.where(F.col("count") * 4 * shards > total).collect()) if shards > 1 else []
+    discard(counts)
     hot, hot_counts = np.array([w for w, _ in frequent], np.uint64), np.array([c for _, c in frequent], np.int64)
     sent = spark.sparkContext.broadcast(hot)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~learn).alias("out"), F.col("text").cast("string").alias("text"))
