@@ -24,6 +24,9 @@ ASSISTANT = "assistant"
 MARKS = {"user": ("[INST]", "[/INST]"), ASSISTANT: ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
 ROLE = ("[ROLE]", "[/ROLE]")
 
+#: Conversations a task holds at once.
+AT_ONCE = 32
+
 _CONTROL = re.compile("|".join(re.escape(c) for pair in (*MARKS.values(), ROLE) for c in pair))
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
@@ -137,31 +140,33 @@ def format_conversations(turns: DataFrame, tokenizer: str | None = None) -> Data
     # array_sort puts null fields of a struct first.
     rows = whole.select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
+    def lists(parts: list[np.ndarray]) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int32)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizer(tokenizer or default_tokenizer())
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        # A few conversations at once: an encoding takes far more room than the numbers kept of it.
+        for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
             made = [render(list(zip(roles, texts, strict=True)))
                     for roles, texts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             out = []
-            for (_, spans), found in zip(made, encoder.encode_batch([t for t, _ in made], add_special_tokens=False), strict=True):
+            for formatted, spans in made:
+                found = encoder.encode(formatted, add_special_tokens=False)
                 offsets = np.array(found.offsets, np.int64).reshape(-1, 2)
-                low, high = align(offsets[:, 0], offsets[:, 1], spans)
-                out.append((found.ids, offsets[:, 0].tolist(), offsets[:, 1].tolist(), low.tolist(), high.tolist()))
-            longs = pa.list_(pa.int64())
+                out.append((np.array(found.ids, np.int64), *offsets.T, *align(offsets[:, 0], offsets[:, 1], spans)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array([t for t, _ in made]),
                     pa.array([[{"first": a, "last": b} for a, b in s] for _, s in made],
                              pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                    *(pa.array([o[i] for o in out], longs) for i in range(5)),
+                    *(lists([o[i] for o in out]) for i in range(5)),
                 ],
                 names=["conv_id", "formatted", "spans", "ids", "starts", "ends", "low", "high"],
             )
 
     schema = ("conv_id long, formatted string, spans array<struct<first: long, last: long>>, "
-              + ", ".join(f"{c} array<long>" for c in ("ids", "starts", "ends", "low", "high")))
+              + ", ".join(f"{c} array<int>" for c in ("ids", "starts", "ends", "low", "high")))
     return rows.mapInArrow(run, schema)
 
 
@@ -170,7 +175,7 @@ def digests(formatted: DataFrame) -> DataFrame:
     bounded(formatted.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
             out = []
             for conv, text, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 turns = read_back(text)
