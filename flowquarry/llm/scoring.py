@@ -33,7 +33,7 @@ from flowquarry.llm.succinct import CHILD_BITS, Trie, mapped
 #: Weight of the prior, in words: how often a context must be seen to count as much as the words alone.
 PRIOR = 400.0
 #: Training tokens a shard holds, about.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_500_000
 #: Distinct words a task adds up before it passes them on.
 WORDS_HELD = 1_000_000
 
@@ -147,18 +147,22 @@ class Shard:
     def __init__(self, table: pa.Table, hot: np.ndarray, hot_counts: np.ndarray, total: int, distinct: int, prior: float):
         rows = table.select(["words", "before", "docs", "times", "out"]).to_pylist()
         self.lengths = np.array([len(r["words"]) // 8 for r in rows])
-        words = np.frombuffer(b"".join(r["words"] for r in rows), "<u8")
-        low = np.frombuffer(b"".join(r["before"] for r in rows), np.uint8).reshape(-1, CHILD_BITS // 8)
-        before = np.zeros((len(words), 8), np.uint8)
-        before[:, : CHILD_BITS // 8] = low
-        before = before.view("<u8").reshape(-1)
-        self.docs = np.frombuffer(b"".join(r["docs"] for r in rows), "<u2").astype(np.int64)
-        self.times = np.frombuffer(b"".join(r["times"] for r in rows), "<u4").astype(np.int64)
+        self.docs = np.frombuffer(b"".join(r["docs"] for r in rows), "<u2")
+        self.times = np.frombuffer(b"".join(r["times"] for r in rows), "<u4")
         learnt = [np.frombuffer(r["out"], np.uint8) == 0 for r in rows]
         train = np.concatenate([x[d] for x, d in zip(learnt, np.split(self.docs, np.cumsum(self.lengths)[:-1]), strict=True)]) \
-            if len(words) else np.empty(0, bool)
+            if len(self.docs) else np.empty(0, bool)
+        low = np.frombuffer(b"".join(r["before"] for r in rows), np.uint8).reshape(-1, CHILD_BITS // 8)
+        words = np.frombuffer(b"".join(r["words"] for r in rows), "<u8")
+        del rows  # arrays as long as the shard go as soon as they can
         self.words, word_at = np.unique(words, return_inverse=True)
-        keys = (word_at.astype(np.uint64) << np.uint64(CHILD_BITS)) | before
+        del words
+        keys = np.zeros((len(low), 8), np.uint8)
+        keys[:, : CHILD_BITS // 8] = low
+        del low
+        keys = keys.view("<u8").reshape(-1)
+        keys |= word_at.astype(np.uint64) << np.uint64(CHILD_BITS)
+        del word_at
         keys, self.pair_at = np.unique(keys, return_inverse=True)
         self.pair_word = (keys >> np.uint64(CHILD_BITS)).astype(np.int64)
         self.pair_before = keys & np.uint64((1 << CHILD_BITS) - 1)
