@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import staged
+from flowquarry.llm.common import discard, staged
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -37,9 +38,26 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         joins = staged(seen.groupBy("u").agg(F.min("m")["n"].alias("to")), "joins")
         u, v = joins.toDF("u", "x"), joins.toDF("v", "y")
         moved = links.join(u, "u").join(v, "v").where("x != y")
+        old = links, labels, joins
         links = staged(moved.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "links")
         labels = staged(
             labels.join(joins.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")),
             "labels",
         )
+        discard(*old)
+    discard(links)
     return labels
+
+
+def spanning(left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of a small graph on 0 to n - 1: every node but the least of its component, and that one."""
+    root = np.arange(n)
+    while len(left):  # least label of the neighbours, then of the label, until nothing changes
+        before = root.copy()
+        np.minimum.at(root, left, before[right])
+        np.minimum.at(root, right, before[left])
+        root = root[root]
+        if (root == before).all():
+            break
+    linked = np.flatnonzero(root != np.arange(n))
+    return linked, root[linked]

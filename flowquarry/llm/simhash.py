@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import bounded, map_batches, staged, tokens, unused
-from flowquarry.llm.components import connected
+from flowquarry.llm.common import bounded, discard, map_batches, staged, tokens, unused
+from flowquarry.llm.components import connected, spanning
 
 SEED = 42
 DISTANCE = 3
@@ -88,16 +88,8 @@ def _forest(marks: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
                 lefts.append(hit)
                 rights.append(at[hit])
         left, right = np.concatenate(lefts), np.concatenate(rights)
-    root = np.arange(n)
-    while len(left):  # least label of the neighbours, then of the label, until nothing changes
-        before = root.copy()
-        np.minimum.at(root, left, before[right])
-        np.minimum.at(root, right, before[left])
-        root = root[root]
-        if (root == before).all():
-            break
-    linked = np.flatnonzero(root != np.arange(n))
-    return marks[linked], marks[root[linked]]
+    linked, root = spanning(left, right, n)
+    return marks[linked], marks[root]
 
 
 def _links(distance: int):
@@ -179,6 +171,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE) -
     labelled = staged(labelled, "labelled")
     least = staged(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "least")
     named = staged(labelled.join(least, "label").select("fp", "component_id"), "named")
+    discard(classes, labels, labelled, least)
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import bounded, staged, unused
-from flowquarry.llm.components import connected
+from flowquarry.llm.common import bounded, discard, staged, unused
+from flowquarry.llm.components import connected, spanning
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -40,6 +40,10 @@ LEAST = 25
 WINDOW = 16
 BITS = 1 << 26
 
+#: Paragraphs of one band up to which all pairs are made, and paragraphs of a block beyond.
+SHORT = 16
+BLOCK = 256
+
 PARAGRAPH, PASSAGE, BAND = 0, 1, 2
 
 
@@ -142,7 +146,7 @@ def _hits(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _scan(docs: DataFrame, parts, schema: str) -> DataFrame:
     """Rows that ``parts(doc_id, units)`` makes of every document; it yields tuples of columns."""
-    kinds = [pa.field("x", {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}[c.split(" ")[1]]).type
+    kinds = [pa.field("x", {"int": pa.int32(), "long": pa.int64(), "array<int>": pa.list_(pa.int32())}[c.split(" ")[1]]).type
              for c in schema.split(", ")]
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
@@ -180,6 +184,28 @@ def _jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def _block_links(threshold: float):
+    """Links between differently labelled paragraphs of one block, enough to connect whatever is alike in it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
+        sets = table.column("shingles").combine_chunks()
+        size = np.diff(sets.offsets.to_numpy())
+        owner, (_, place, seen) = np.repeat(np.arange(len(ids)), size), np.unique(
+            sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        common = seen[place] > 1  # a shingle of one paragraph alone is in no intersection
+        kept, place = np.unique(place[common], return_inverse=True)
+        member = np.zeros((len(ids), len(kept)), np.float32)
+        member[owner[common], place] = 1
+        both = (member @ member.T).astype(float)
+        alike = both / (size[:, None] + size[None, :] - both) >= threshold
+        left, right = np.nonzero(np.triu(alike & (labels[:, None] != labels[None, :]), 1))
+        a, b = spanning(left, right, len(ids))
+        return pa.table({"a": ids[a], "b": ids[b]})
+
+    return run
+
+
 def repeated_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, first, last, source_id``: maximal spans (code points, ``last`` exclusive) that go, and who keeps the text.
 
@@ -208,7 +234,7 @@ def repeated_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     # Keys in two documents; band keys of two different paragraphs.
     every = _scan(docs, keyed, "kind int, key long, id long")
-    shared = every.groupBy("kind", "key").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    shared = every.groupBy("kind", "key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
     shared = staged(shared.where("least < most").drop("most"), "shared")
     hot = spark.sparkContext.broadcast(_bitmap(shared.where(F.col("kind") != PARAGRAPH)))
 
@@ -226,14 +252,19 @@ def repeated_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     zero = same(len(hit), 0)
                     yield same(len(hit), BAND + band), found[hit, band].view(np.int64), u.keys[hit].view(np.int64), zero, zero
 
-    found = staged(_scan(docs, again, "kind int, key long, id long, first long, last long"), "units")
-    found = staged(found.join(shared, ["kind", "key"]), "matches")
+    units = staged(_scan(docs, again, "kind int, key long, id long, first int, last int"), "units")
+    found = staged(units.join(shared.drop("n"), ["kind", "key"]), "matches")
+    discard(units)
     passages = found.where((F.col("kind") == PASSAGE) & (F.col("id") != F.col("least")))
     passages = passages.select(F.col("id").alias("doc_id"), "first", "last", F.col("least").alias("source_id"))
 
-    # Paragraphs: first compare each with the least of its bands, then what is still apart within a band.
-    members = staged(found.where(F.col("kind") >= BAND).select("kind", "key", "id", "least").distinct(), "members")
-    pairs = staged(members.where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct(), "pairs")
+    # Paragraphs: first compare each with the commonest one of its bands; edited copies resemble what they are copies of.
+    popular = shared.where(F.col("kind") == PARAGRAPH).select(F.col("key").alias("id"), "n")
+    members = found.where(F.col("kind") >= BAND).select("kind", "key", "id").distinct().join(popular, "id", "left")
+    members = staged(members.select("kind", "key", "id", F.coalesce("n", F.lit(1)).alias("n")), "members")
+    leads = staged(members.groupBy("kind", "key").agg(F.max(F.struct("n", "id")).alias("lead")), "leads")
+    chosen = members.drop("n").join(leads, ["kind", "key"]).groupBy(F.col("id").alias("a")).agg(F.max("lead").alias("lead"))
+    pairs = chosen.select("a", F.col("lead.id").alias("b")).where("a != b")
     ids = members.select(F.col("id").alias("key")).union(shared.where(F.col("kind") == PARAGRAPH).select("key"))
     wanted = spark.sparkContext.broadcast(_bitmap(ids))
 
@@ -241,10 +272,11 @@ def repeated_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         hit = np.flatnonzero(_hits(wanted.value, u.keys)) if len(u.keys) else ()
         if len(hit):
             first, last = u.first[hit], u.last[hit]
-            sets = [np.unique(u.shingles[i : j - SHINGLE + 1]).view(np.int64) for i, j in zip(first, last, strict=True)]
+            # Half of a shingle's hash: within one paragraph the chance of two alike is nil.
+            sets = [np.unique(u.shingles[i : j - SHINGLE + 1].view(np.int32)[1::2]) for i, j in zip(first, last, strict=True)]
             yield u.keys[hit].view(np.int64), same(len(hit), doc), u.start[first], u.end[last - 1], sets
 
-    seen = staged(_scan(docs, paragraphs, "key long, doc_id long, first long, last long, shingles array<long>"), "paragraphs")
+    seen = staged(_scan(docs, paragraphs, "key long, doc_id long, first int, last int, shingles array<int>"), "paragraphs")
     sets = seen.join(members.select(F.col("id").alias("key")).distinct(), "key", "left_semi")
     sets = staged(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
 
@@ -253,21 +285,30 @@ def repeated_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return both.where(_jaccard(F.col("x"), F.col("y")) >= threshold).select("a", "b")
 
     links = staged(verified(pairs), "links")
-    labels = connected(links)
-    named = members.join(labels.toDF("id", "label"), "id", "left")
+    first = connected(links)
+    named = members.join(first.toDF("id", "label"), "id", "left")
     named = staged(named.select("kind", "key", "id", F.coalesce("label", "id").alias("label")), "named")
-    groups = named.select("kind", "key", "label").distinct()
-    apart = groups.toDF("kind", "key", "p").join(groups.toDF("kind", "key", "q"), ["kind", "key"]).where("p < q")
-    rest = apart.join(named.toDF("kind", "key", "a", "p"), ["kind", "key", "p"])
-    rest = rest.join(named.toDF("kind", "key", "b", "q"), ["kind", "key", "q"]).select("a", "b").distinct()
-    late = staged(verified(staged(rest, "rest")), "links")
+    # What is still apart within a band: all pairs of a short list; a long one in blocks, in which nothing but links is made.
+    sizes = named.groupBy("kind", "key").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y"))
+    sizes = staged(sizes.where("x < y").select("kind", "key", "m"), "sizes")
+    short = named.join(sizes.where(F.col("m") <= SHORT).drop("m"), ["kind", "key"])
+    rest = short.toDF("kind", "key", "a", "p").join(short.toDF("kind", "key", "b", "q"), ["kind", "key"])
+    rest = rest.where("p < q and a != b").select("a", "b").distinct()
+    long = named.join(sizes.where(F.col("m") > SHORT), ["kind", "key"])
+    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("long")
+    long = long.withColumn("part", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    long = long.select("kind", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "id", "label")
+    long = long.join(sets.withColumnRenamed("key", "id"), "id")
+    late = verified(rest).union(long.groupBy("kind", "key", "low", "high").applyInArrow(_block_links(threshold), "a long, b long"))
+    late = staged(late.distinct(), "links")
     labels = connected(links.union(late))
 
     clusters = seen.drop("shingles").join(labels.toDF("key", "label"), "key", "left")
     clusters = staged(clusters.withColumn("label", F.coalesce("label", "key")), "clusters")
+    discard(shared, members, leads, seen, sets, links, first, named, sizes, late, labels)
     least = staged(clusters.groupBy("label").agg(F.min("doc_id").alias("source_id")), "sources")
     lines = clusters.join(least, "label").where("doc_id != source_id").select("doc_id", "first", "last", "source_id")
-    return _islands(passages.union(lines))
+    return _islands(passages.union(lines)).withColumns({c: F.col(c).cast("long") for c in ("first", "last")})
 
 
 def _islands(spans: DataFrame) -> DataFrame:
