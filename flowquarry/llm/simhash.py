@@ -73,7 +73,8 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def _forest(marks: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of one posting list of distinct sorted fingerprints."""
+    """Links of a spanning forest of one posting list of distinct fingerprints in any order."""
+    marks = np.sort(marks)  # Spark sorts them as signed numbers; the search below needs unsigned order
     n = len(marks)
     if n <= PAIRWISE:
         left, right = np.nonzero(np.triu(np.bitwise_count(marks[:, None] ^ marks[None, :]) <= distance, 1))
@@ -129,7 +130,7 @@ def _links(distance: int):
             if last:
                 yield linked(keys[:last], marks[:last])
         if len(held_keys):
-            yield linked(held_keys, np.sort(held))
+            yield linked(held_keys, held)
 
     return run
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -57,6 +59,23 @@ def test_links_of_clustered_fingerprints(spark, size):
     assert got == want
 
 
+def test_long_lists_over_both_signs():
+    """Lists as Spark sorts them, by the signed fingerprint, several in one partition; partners may differ in bits 56 to 63."""
+    random.seed(11)
+    lists = []
+    for _ in range(3):
+        marks = {random.getrandbits(24) << 40 for _ in range(900)}
+        marks |= {m ^ 1 << random.randrange(40, 48) ^ 1 << random.randrange(48, 56) ^ 1 << random.randrange(56, 64) for m in marks}
+        lists.append(np.sort(np.array(list(marks), np.uint64).view(np.int64)))
+    keys = np.repeat(np.arange(3), [len(x) for x in lists])
+    postings = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(lists))], names=["key", "fp"])
+    links = pa.Table.from_batches(simhash._links(3)(iter([postings]))).to_pandas()
+    got = plain_components(set(np.concatenate(lists).tolist()), zip(links.a.tolist(), links.b.tolist(), strict=True))
+    for marks in lists:
+        left, right = np.nonzero(np.triu(np.bitwise_count(marks.view(np.uint64)[:, None] ^ marks.view(np.uint64)) <= 3, 1))
+        assert len(left) >= 800 and all(got[a] == got[b] for a, b in zip(marks[left].tolist(), marks[right].tolist(), strict=True))
+
+
 def test_components_of_chains_and_stars(spark):
     random.seed(7)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(100)] + [(5000, 5001), (5001, 5000), (9, 9)]
