@@ -5,12 +5,16 @@ its code point. The vector of an n-gram binds (multiplies) the letter vectors,
 each permuted (rotated) by its place; the vector of a document bundles (adds)
 those of its n-grams. A language's prototype bundles the unit vectors of its
 training documents, and a document has the language of nearest cosine.
+
+Whether that language is known at all is judged by the mean of its n-grams' products
+with the language's mean document, which does not depend on the length of a text: it
+is near zero for random letters and low for a language not learnt.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +28,10 @@ from flowquarry.llm.common import bounded, unused
 DIMENSIONS = 1024
 GRAM = 3
 UNKNOWN = "und"
+#: A text is like its language unless it is less typical than this share of the training documents and than half their mean.
+RARE = 0.01
+#: Letters a text needs to be judged; a shorter one stays.
+SHORTEST = 8
 #: Characters bundled at once, and n-gram vectors a worker keeps (4 KB each).
 CHARS_AT_ONCE = 400_000
 VECTORS_KEPT = 20_000
@@ -77,7 +85,12 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def document_vectors(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     """Bundled vectors of texts, one row each; all zero for a text without letters."""
-    out = np.zeros((len(texts), dimensions), np.float32)
+    return _bundles(texts, dimensions)[0]
+
+
+def _bundles(texts: list[str], dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bundled vectors of texts, and the number of n-grams in each."""
+    out, sizes = np.zeros((len(texts), dimensions), np.float32), np.zeros(len(texts), np.int64)
     first = 0
     while first < len(texts):
         last, chars = first, 0
@@ -85,6 +98,7 @@ def document_vectors(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarr
             chars += len(texts[last])
             last += 1
         docs, grams = _grams(texts[first:last])
+        sizes[first:last] = np.bincount(docs, minlength=last - first)
         if len(grams):
             distinct, place = _distinct(grams)
             counts = np.bincount(docs * len(distinct) + place, minlength=(last - first) * len(distinct))
@@ -93,7 +107,7 @@ def document_vectors(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarr
                 part = np.stack([gram_vector(g, dimensions) for g in distinct[i : i + 4096].tolist()])
                 out[first:last] += counts[:, i : i + 4096] @ part
         first = last
-    return out
+    return out, sizes
 
 
 def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,10 +140,16 @@ class Profiles:
     languages: tuple[str, ...]
     prototypes: np.ndarray
     centre: np.ndarray
+    means: np.ndarray  # unit vectors of the mean documents themselves
+    floors: np.ndarray  # least typicality of a known text, per language
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Nearest language and a score from 0 to 1: half of one plus the cosine to its prototype."""
-        vectors = document_vectors([t or "" for t in texts], len(self.centre))
+        """Nearest language and a score from 0 to 1: half of one plus the cosine to its prototype.
+
+        A text unlike the documents its language was learnt from has a score below one half:
+        half the share of its floor that it reaches.
+        """
+        vectors, sizes = _bundles([t or "" for t in texts], len(self.centre))
         empty = ~vectors.any(axis=1)
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -137,15 +157,26 @@ class Profiles:
         best = cosines.argmax(axis=1)
         score = np.clip((1 + cosines[np.arange(len(texts)), best].astype(np.float64)) / 2, 0, 1)
         names = [UNKNOWN if e else self.languages[b] for e, b in zip(empty.tolist(), best.tolist(), strict=True)]
+        typical, floor = self.typical(vectors, sizes, best), self.floors[best]
+        unlike = (sizes >= SHORTEST) & (typical < floor)
+        share = np.divide(typical, floor, out=np.zeros(len(texts)), where=unlike & (floor > 0))
+        score = np.where(unlike, np.minimum(score, np.maximum(share, 0) / 2), score)
         return names, np.where(empty, 0.0, score)
 
+    def typical(self, vectors: np.ndarray, sizes: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """Mean product of a text's n-grams with the mean document of one language (by number) each."""
+        products = np.einsum("ij,ij->i", vectors, self.means[language], dtype=np.float64)
+        return products / (np.maximum(sizes, 1) * np.sqrt(vectors.shape[1]))
 
-def fit(docs: DataFrame, dimensions: int = DIMENSIONS) -> Profiles:
+
+def fit(docs: DataFrame, dimensions: int = DIMENSIONS, floors: bool = True) -> Profiles:
     """Prototypes from every row of ``docs`` with letters and a non-null ``lang``.
 
     Each task adds up unit vectors per language; one row per task, language and
     block of components is shuffled, and the driver receives one vector a
     language. A table without such rows gives profiles that know no language.
+    With ``floors`` a second pass over the same rows learns how typical they are;
+    without, every text with letters counts as known.
     """
     bounded(docs.sparkSession)
 
@@ -174,13 +205,35 @@ def fit(docs: DataFrame, dimensions: int = DIMENSIONS) -> Profiles:
     whole = whole.agg(F.array_sort(F.collect_list(F.struct("place", "total"))).alias("parts")).where("docs > 0")
     found = sorted(whole.collect(), key=lambda r: r["lang"])  # a vector a language
     if not found:
-        return Profiles((), np.zeros((0, dimensions), np.float32), np.zeros(dimensions, np.float32))
+        none = np.zeros((0, dimensions), np.float32)
+        return Profiles((), none, np.zeros(dimensions, np.float32), none, np.zeros(0))
     means = np.array([[p["total"] for p in r["parts"]] for r in found]) / np.array([[r["docs"]] for r in found])
     # Rounded, so that the order in which tasks finish does not show.
     centre = (means.mean(axis=0) if len(found) > 1 else np.zeros(dimensions)).round(9)
-    return Profiles(
-        tuple(r["lang"] for r in found), _unit((means - centre).round(9)).astype(np.float32), centre.astype(np.float32)
+    learnt = Profiles(
+        tuple(r["lang"] for r in found), _unit((means - centre).round(9)).astype(np.float32), centre.astype(np.float32),
+        _unit(means.round(9)).astype(np.float32), np.full(len(found), -np.inf),
     )
+    return replace(learnt, floors=_floors(rows, learnt)) if floors else learnt
+
+
+def _floors(rows: DataFrame, learnt: Profiles) -> np.ndarray:
+    """Least typicality per language, from all of its training documents that are long enough to be judged."""
+    number = {name: i for i, name in enumerate(learnt.languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors, sizes = _bundles(batch.column(1).to_pylist(), len(learnt.centre))
+            own = np.array([number.get(x, -1) for x in batch.column(0).to_pylist()], np.int64)
+            use = (sizes >= SHORTEST) & (own >= 0)
+            found = learnt.typical(vectors[use], sizes[use], own[use])
+            yield pa.RecordBatch.from_arrays([pa.array(own[use]), pa.array(found)], names=["own", "typical"])
+
+    rated = rows.mapInArrow(run, "own long, typical double").groupBy("own")
+    floors = np.full(len(number), -np.inf)
+    for r in rated.agg(F.percentile_approx("typical", RARE).alias("rare"), F.avg("typical").alias("mean")).collect():  # a row a language
+        floors[r["own"]] = round(min(r["rare"], r["mean"] / 2), 9)
+    return floors
 
 
 def detect(profiles: Profiles, text: Column) -> Column:
@@ -197,7 +250,11 @@ def detect(profiles: Profiles, text: Column) -> Column:
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, least: float = 0.5) -> DataFrame:
-    """Rows whose language is known: not ``und``, and no further from its prototype than a right angle."""
+    """Rows whose language is known: not ``und``, and a score of at least ``least``.
+
+    One half is where texts begin that are like the documents their language was learnt
+    from; one of fewer than ``SHORTEST`` letters cannot be judged by that and stays.
+    """
     bounded(docs.sparkSession)
     name = unused("found", docs.columns)
     found = docs.withColumn(name, detect(profiles, F.col("text")))

@@ -21,7 +21,7 @@ def document_languages(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document, learnt from those not held out."""
     docs = load(spark, folder, "documents").select("doc_id", "text", "lang")
     out = held_out(F.col("doc_id"), 4)
-    profiles = language.fit(docs.where(~out & F.col("doc_id").isNotNull()))
+    profiles = language.fit(docs.where(~out & F.col("doc_id").isNotNull()), floors=False)
     found = docs.select("doc_id", out.alias("held_out"), language.detect(profiles, F.col("text")).alias("found"))
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 

@@ -45,6 +45,20 @@ def test_edge_rows(spark):
     assert kept.columns == clashing.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 6, 6, 8]
 
 
+def test_unlearnt_language_and_random_letters_go(spark, folder):
+    rng = np.random.default_rng(3)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("text is not null and length(text) >= 200").select("doc_id", "text", "lang")
+    learnt = docs.where("lang in ('en', 'de')")
+    profiles = language.fit(learnt)
+    clean = learnt.count()
+    assert language.keep_known(learnt, profiles).count() >= 0.99 * clean
+    other = docs.where("lang in ('fr', 'es')")
+    assert language.keep_known(other, profiles).count() <= 0.1 * other.count()
+    soup = [(i, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz   "), 300)), None) for i in range(50)]
+    soup += [(100 + i, "".join(rng.choice(list("*#@!%&/=0123456789  "), 300)) + "qxvzkjwp", None) for i in range(50)]
+    assert language.keep_known(spark.createDataFrame(soup, docs.schema), profiles).count() == 0
+
+
 @pytest.mark.parametrize("condition", ["1 = 0", "lang is null"])
 def test_nothing_to_learn_from(spark, condition):
     docs = spark.createDataFrame([(1, "the", None)], "doc_id long, text string, lang string").where(condition)
