@@ -26,8 +26,6 @@ BOOSTED_GRID = {
     "maxIter": [50, 100, 150], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.1, 0.2], "subsamplingRate": [0.8, 1.0],
     "featureSubsetStrategy": ["0.8", "1.0"], "minInfoGain": [0.0, 0.1, 0.2],
 }
-#: Boosting rounds after which the settings of a search are compared.
-SEARCH_ROUNDS = 10
 MLP_HIDDEN = (128, 64)
 
 

@@ -102,9 +102,9 @@ def _(spark, folder):
 
 @query("random_search", "F09 F10")
 def _(spark, folder):
-    """15 draws of the whole grid, compared after ``SEARCH_ROUNDS`` rounds; the best is fitted again with all of its own."""
+    """15 draws of the whole grid, each fitted on every fold with all of its own rounds."""
     ready = _prepared(spark, folder)
-    found = M.random_search(ready.train, _FEATURES, M.boosted_trees(), M.BOOSTED_GRID, folds=5, rounds=M.SEARCH_ROUNDS)
+    found = M.random_search(ready.train, _FEATURES, M.boosted_trees(), M.BOOSTED_GRID, folds=5)
     on_val = M.evaluate(found.model, ready.val).first()
     return K.top_settings(found.as_table(spark)).withColumn("best_val_accuracy", F.lit(float(on_val["accuracy"])))
 

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowquarry.operators import neighbors, ordered, prepare, sessions, skew
+from flowquarry.operators import neighbors, ordered, prepare, sessions, skew, training
 from flowquarry.operators.isolation import IsolationForest
+from flowquarry.plans import CATALOGUE
 
 
 @pytest.fixture(scope="module")
@@ -148,3 +149,17 @@ def test_isolation_forest_finds_the_outlier(spark):
     assert 25 <= scored.filter("is_anomaly").count() <= 31
     again = IsolationForest.fit(df.repartition(7), ["a", "b"], ["id"], trees=30, sample=64)
     assert again.trees == forest.trees
+
+
+def test_search_compares_draws_with_all_their_rounds(spark, folder, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def fit(self, train):
+        raise Seen([m[p] for m in self.getEstimatorParamMaps() for p in m if p.name == "maxIter"])
+
+    monkeypatch.setattr(training.CrossValidator, "fit", fit)
+    with pytest.raises(Seen) as seen:
+        CATALOGUE["random_search"].build(spark, folder)
+    drawn = training.sampled_grid(training.boosted_trees(), training.BOOSTED_GRID, 15)
+    assert seen.value.args[0] == [m[p] for m in drawn for p in m if p.name == "maxIter"]
