@@ -7,7 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm import chat, forest, language, mixing, packing, prefixes, quality, scoring, simhash, substrings
+from flowquarry.llm import (
+    chat, forest, language, mixing, packing, phrases, prefixes, quality, runs, scoring, simhash, substrings,
+)
 from flowquarry.llm.common import held_out, load
 
 
@@ -78,6 +80,35 @@ def scored_documents(spark: SparkSession, folder: str) -> DataFrame:
                         "score")
 
 
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 best phrases of each language."""
+    return phrases.collocations(load(spark, folder, "documents").select("lang", "text"))
+
+
+def collapsed_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of every document, and digests of them and of the text without their repeats."""
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    loops = docs.withColumn("crc", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    chosen = F.col("crc") % 10 == 0
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    loops = loops.withColumn("words", F.when(chosen, words)).withColumn("n", F.size("words")).withColumn("g", F.expr("crc div 10"))
+    loops = loops.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    loops = loops.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    looped = F.expr("concat_ws(' ', transform(sequence(0, n - 1), i -> words[cast(if(i < a, i, a + (i - a) % p) as int)]))")
+    edited = loops.select("doc_id", F.when(F.col("n") > 0, looped).otherwise(F.col("text")).alias("text"))
+    found = runs.periodic_runs(edited)
+    longest = F.array_max(F.transform("runs.found", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.transform("runs.found", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.select("doc_id", F.size("runs.found").cast("long").alias("n_runs"), longest.alias("run"),
+                         F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+                         F.sha2("runs.collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("run.start"), F.col("run.length"), -F.col("run.period")
+    milli = F.expr("1000 * run.length div -run.period")
+    return found.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"),
+                        milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_forest": nearest_vectors,
     "op2_prefixes": fingerprinted_documents,
@@ -89,6 +120,8 @@ QUERIES = {
     "op8_language": document_languages,
     "op9_mixing": mixed_sources,
     "op10_chat": formatted_conversations,
+    "op11_phrases": phrase_collocations,
+    "op13_runs": collapsed_runs,
 }
 
 def _formatted_sql() -> str:
@@ -113,6 +146,28 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr
 FROM t GROUP BY conv_id"""
 
 
+_PHRASES_SQL = """WITH w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+nn AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a FROM (
+    SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, unnest([1, 2, 3, 4]) AS t(m)) GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(ws[:k], ' ') AS lhs, array_to_string(ws[k + 1:], ' ') AS rhs FROM (
+    SELECT lang, phrase, a, m, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k FROM grams WHERE m > 1)),
+scored AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a + y.a))::BIGINT AS score
+  FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = c.lhs JOIN grams y ON y.lang = c.lang AND y.phrase = c.rhs),
+cut AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(ws[i:j], ' ') AS phrase, max(a) AS best FROM (
+    SELECT lang, ws, i, m, a, unnest(range(i + 1, m + 1)) AS j FROM (
+      SELECT lang, string_split(phrase, ' ') AS ws, m, a, unnest(range(1, m)) AS i FROM grams WHERE m > 2))
+  WHERE j - i + 1 < m GROUP BY ALL),
+fresh AS (SELECT cut.* FROM cut LEFT JOIN inside USING (lang, phrase) WHERE best IS NULL OR 100::HUGEINT * best < 80::HUGEINT * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM fresh)
+  JOIN nn USING (lang) WHERE rank <= 2000"""
+
+
 SQL: dict[str, str] = {
     "op10_chat": _formatted_sql(),
+    "op11_phrases": _PHRASES_SQL,
 }
