@@ -1,21 +1,21 @@
 """Phrase collocations by stripes: every prefix keys a counter of the words that follow it.
 
-A stripe is a prefix of up to three words with its next words and their counts;
-what follows that cannot be part of a frequent phrase, or nothing, counts under
-``OTHER``. Tasks make stripes of their own texts, the stripes of one prefix meet
-and are added up word by word, and the sum holds everything: the counts of the
-prefix's extensions, its own count (the total) and the most frequent extension,
-which decides whether a longer phrase makes it redundant. The empty prefix counts
-the words.
-
-A phrase cannot be more frequent than its parts. So the second pass only makes
-stripes of frequent words, and the third one stripes of frequent pairs; tasks know
-those from a bitmap of 16 to 32 bits a counted word or pair, ``MOST_BITS`` at most.
-False hits, also those of a full bitmap, cost time and are dropped by their counts.
-
-Stripes of words that make up 1/1024 of all or more (there cannot be more than 1024
-of them) are cut into ``PARTS`` by next word before they meet, as that of the
-empty prefix is. Words are 64-bit keys until the phrases are chosen.
+A stripe is a prefix of up to three words with its next words and their counts.
+Tasks make stripes of their own texts, the stripes of one prefix meet and are
+added up word by word, and the sums hold everything: the counts of a prefix's
+extensions, the most frequent one, which decides whether a longer phrase makes the
+prefix redundant, and each prefix's own count, which is its entry in the stripe of
+its first words. The empty prefix counts the words.
+
+A phrase cannot be more frequent than its parts. So each pass over the texts only
+counts phrases whose both parts of one word less were found frequent by the pass
+before; tasks know those from a bitmap of 16 to 32 bits a counted part, ``MOST_BITS``
+at most. False hits, also those of a full bitmap, cost time and are dropped by
+their counts.
+
+Stripes that begin with a word whose pairs reach 1/1024 of all words (there cannot
+be more than 1024 such words) are cut into ``PARTS`` by next word before they meet, as
+that of the empty prefix is. Words are 64-bit keys until the phrases are chosen.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,8 @@ BLOCK = 6 << 20
 PARTS = 64
 HEAVY = 1024
 MOST_BITS = 1 << 28
-OTHER = 0
+#: Stands for no word; no key has this value.
+NONE = 0
 
 PREFIX = ["p1", "p2", "p3"]
 STRIPES = "lang string, p1 long, p2 long, p3 long, part int, word string, nexts array<long>, counts array<long>"
@@ -64,9 +66,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One key for each pair of word keys."""
-    return _mix(_mix(a.view(np.uint64)) + b.view(np.uint64)).view(np.int64)
+def gram_keys(words: list[np.ndarray]) -> np.ndarray:
+    """One key for each phrase, given as a column per word; that of a single word is the word's."""
+    key = words[0]
+    for word in words[1:]:
+        key = _mix(_mix(key.view(np.uint64)) + word.view(np.uint64)).view(np.int64)
+    return key
 
 
 class Words:
@@ -91,7 +96,7 @@ class Words:
             sums = np.add.reduceat(_BYTE[codes[inside]] * factor[at], begin)
             seed = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
             key = _mix(sums + seed).view(np.int64)
-            self.key = np.where(key == OTHER, 1, key)
+            self.key = np.where(key == NONE, 1, key)
 
 
 def _extended(prefix: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,64 +105,62 @@ def _extended(prefix: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndar
     return number, pairs // words, pairs % words
 
 
-def block_stripes(words: Words, length: int, member: Member | None, tail=None, final: bool = True) -> Iterator[tuple]:
-    """Entries (prefix columns, next, count) of a block, one tuple of arrays per prefix length, sorted by prefix.
-
-    ``length`` 0 counts words, 1 makes stripes of words that are members, 2 stripes
-    of pairs that are members and of the triples made of two of them. With
-    ``tail`` the block continues a text; its last prefixes wait unless ``final``.
-    """
+def _known(words: Words, length: int, member: Member | None, tail: tuple | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys of the words, where a known phrase of ``length`` words begins, and how many words a block before had counted."""
     key, piece, skip = words.key, words.piece, 0
     if tail is not None:
         key, piece, skip = np.concatenate((tail[0], key)), np.concatenate((tail[1], piece)), len(tail[0])
-    n = len(key)
+    known = np.zeros(len(key), bool)
+    at = np.arange(max(len(key) - length + 1, 0))
+    if length > 1:
+        at = at[piece[at] == piece[at + length - 1]]
+    if length:
+        known[at] = member(gram_keys([key[at + k] for k in range(length)]))
+    if length == 1:  # longer phrases that overlap lie in one piece anyway
+        known[:-1] &= piece[1:] == piece[:-1]
+    return key, known, skip
+
+
+def block_stripes(words: Words, length: int, member: Member | None, tail: tuple | None = None) -> tuple[tuple, np.ndarray, np.ndarray]:
+    """Prefix columns, next words and counts of the entries of a block whose prefixes have ``length`` words.
+
+    A phrase counts where its last word stands, if the phrases of ``length`` words
+    at its begin and its end are members. With ``tail``, the last words of the
+    block before, the block continues a text.
+    """
+    key, known, skip = _known(words, length, member, tail)
     if length == 0:
-        found, count = np.unique(key[skip:], return_counts=True)
-        none = np.zeros(len(found), np.int64)
-        yield (none, none, none), found, count
-        return
-    joined = np.append(piece[1:] == piece[:-1], False)[:n]
+        nexts, count = np.unique(key[skip:], return_counts=True)
+        return (np.zeros(len(nexts), np.int64),) * 3, nexts, count
     if length == 1:
-        known = member(key)
-        steps = [(1, known, joined & np.append(known[1:], False)[:n])]
+        at = np.flatnonzero(known[:-1])
+        at = at[member(key[at + 1])]
     else:
-        pair = joined.copy()
-        at = np.flatnonzero(joined)
-        pair[at] = member(pair_keys(key[at], key[at + 1]))
-        second, third = (np.append(pair[k:], np.zeros(k, bool))[:n] for k in (1, 2))
-        steps = [(2, pair, second), (3, pair & second, third)]
-    for size, prefix_known, next_known in steps:
-        # A prefix counts where its next word stands, which may be after the end.
-        at = np.flatnonzero(prefix_known)
-        at = at[(at + size >= skip) & (at + size < n + final)]
-        if not len(at):
-            continue
-        follows = np.where(next_known[at], key[np.minimum(at + size, n - 1)], OTHER)
-        columns = [key[at + k] for k in range(size)] + [follows]
-        distinct, number = np.unique(np.concatenate(columns), return_inverse=True)
-        number = number.reshape(size + 1, -1)
-        current, tables = number[0], []
-        for k in range(1, size + 1):
-            current, left, right = _extended(current, number[k], len(distinct))
-            tables.append((left, right))
-        count = np.bincount(current)
-        picked = np.arange(len(count))
-        back = []
-        for left, right in reversed(tables):
-            back.append(distinct[right[picked]])
-            picked = left[picked]
-        back.append(distinct[picked])
-        prefix = [*back[:0:-1], *[np.zeros(len(count), np.int64)] * (3 - size)]
-        yield tuple(prefix), back[0], count
+        at = np.flatnonzero(known[:-1] & known[1:])
+    at = at[at + length >= skip]
+    distinct, number = np.unique(np.concatenate([key[at + k] for k in range(length + 1)]), return_inverse=True)
+    number = number.reshape(length + 1, -1)
+    current, tables = number[0], []
+    for k in range(1, length + 1):
+        current, *table = _extended(current, number[k], max(len(distinct), 1))
+        tables.append(table)
+    count = np.bincount(current)
+    picked, columns = np.arange(len(count)), []
+    for prefix, word in reversed(tables):
+        columns.append(distinct[word[picked]])
+        picked = prefix[picked]
+    columns.append(distinct[picked])
+    nexts, *prefix = columns
+    return (*prefix[::-1], *[np.zeros(len(count), np.int64)] * (3 - length)), nexts, count
 
 
 def _as_rows(lang: str, prefix: tuple, nexts: np.ndarray, counts: np.ndarray, heavy: np.ndarray) -> pa.RecordBatch | None:
     """Entries as a row per prefix and part; a heavy prefix has ``PARTS`` of them, by next word."""
     part = np.where(np.isin(prefix[0], heavy), (nexts.view(np.uint64) % np.uint64(PARTS)).astype(np.int64), -1)
+    if not len(nexts):
+        return None
     order = np.lexsort((nexts, part, *prefix[::-1]))
     columns = [x[order] for x in (*prefix, part)]
-    if not len(order):
-        return None
     begins = np.append(True, np.any([x[1:] != x[:-1] for x in columns], axis=0))
     return _batch([lang] * int(begins.sum()), [x[begins] for x in columns], None, [], np.flatnonzero(begins), nexts[order], counts[order])
 
@@ -173,7 +176,7 @@ def _batch(langs: list, columns: list, words: list | None, extra: list, begins:
     )
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words, tuple | None, bool]]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words, tuple | None]]:
     """Blocks of text of one language: short texts together, long ones in slices that know the last words before."""
     held: dict[str, list[bytes]] = {}
     size = 0
@@ -189,25 +192,23 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words, tup
                     edge = _EDGE.search(data, begin + BLOCK)
                     end = edge.start() if edge else len(data)
                     words = Words(data[begin:end], lang)
-                    yield lang, words, tail, end == len(data)
+                    yield lang, words, tail
                     last = words.key, words.piece - words.ended
                     if tail is not None:
                         last = tuple(np.concatenate(x) for x in zip((tail[0], tail[1] - words.ended), last, strict=True))
                     tail, begin = tuple(x[1 - LONGEST :] for x in last), end
             if size > BLOCK:
-                for lang, texts in held.items():
-                    yield lang, Words(b"\n".join(texts), lang), None, True
+                yield from ((lang, Words(b"\n".join(texts), lang), None) for lang, texts in held.items())
                 held, size = {}, 0
-    for lang, texts in held.items():
-        yield lang, Words(b"\n".join(texts), lang), None, True
+    yield from ((lang, Words(b"\n".join(texts), lang), None) for lang, texts in held.items())
 
 
 def _stripes(docs: DataFrame, length: int, bitmap=None, heavy: list[int] | None = None) -> DataFrame:
-    """The stripes of every task, unmerged; with pairs also the words in them, as rows with ``word``."""
-    whole = np.array([OTHER] if length == 0 else heavy, np.int64)
+    """The stripes of every task, unmerged; with pairs also the words in them, as rows with ``word`` (once a task)."""
+    whole = np.array([NONE] if length == 0 else heavy, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        member = None
+        member, sent = None, np.empty(0, np.int64)
         if bitmap is not None:
             bits = np.frombuffer(bitmap.value, np.uint8)
 
@@ -215,19 +216,20 @@ def _stripes(docs: DataFrame, length: int, bitmap=None, heavy: list[int] | None
                 at = keys.view(np.uint64) & np.uint64(len(bits) * 8 - 1)
                 return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-        for lang, words, tail, final in _blocks(batches):
-            seen = []
-            for prefix, nexts, counts in block_stripes(words, length, member, tail, final):
-                made = _as_rows(lang, prefix, nexts, counts, whole)
-                if made is not None:
-                    yield made
-                if length == 2:
-                    seen += [*prefix, nexts]
-            if seen:
-                wanted = np.unique(np.concatenate(seen))
-                here, at = np.unique(words.key, return_index=True)
-                here, at = (x[np.isin(here, wanted)] for x in (here, at))
+        for lang, words, tail in _blocks(batches):
+            made = _as_rows(lang, *block_stripes(words, length, member, tail), whole)
+            if made is not None:
+                yield made
+            if length == 2:
+                key, known, skip = _known(words, length, member, tail)
+                wanted = (known | np.append(False, known[:-1])[: len(key)])[skip:]
+                if skip:  # the words of the tail were in a block that may not have known them
+                    wanted |= np.isin(words.key, key[:-1][known[:-1]]) | np.isin(words.key, key[1:][known[:-1]])
+                here, at = np.unique(words.key[wanted], return_index=True)
+                fresh = ~np.isin(here, sent)
+                here, at = here[fresh], np.flatnonzero(wanted)[at[fresh]]
                 if len(here):
+                    sent = np.union1d(sent, here)
                     spelt = [words.data[s:e].decode() for s, e in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)]
                     zero = np.zeros(len(here), np.int64)
                     yield _batch([lang] * len(here), [here, zero, zero, zero - 2], spelt, [], zero, zero[:0], zero[:0])
@@ -285,7 +287,7 @@ def _added(table: pa.Table, keys: list[str], close: bool = False) -> tuple[pa.Ta
 
 
 def _finished(rows: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
-    """Total, largest entry and the entries of ``least`` or more; a whole stripe of fewer occurrences goes."""
+    """Sum of the counts, largest entry and the entries of ``least`` or more; stripes without any go, but for words of all."""
     if not rows.num_rows:
         return
     rows = rows.combine_chunks()
@@ -295,11 +297,9 @@ def _finished(rows: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
     nexts, counts = (x.flatten().to_numpy() for x in lists)
     total, best = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows, np.int64)
     np.add.at(total, owner, counts)
-    kept = (nexts != OTHER) & (counts >= least)
+    kept = counts >= least
     np.maximum.at(best, owner[kept], counts[kept])
-    part = rows.column("part").to_numpy()
-    stays = (part != -1) | (total >= least)
-    kept &= stays[owner]
+    stays = (best > 0) | (rows.column("p1").to_numpy() == NONE) | (rows.column("part").to_numpy() == -2)
     number = np.cumsum(stays) - 1
     begins = np.searchsorted(number[owner[kept]], np.arange(int(stays.sum())))
     columns = [rows.column(c).to_numpy()[stays] for c in (*PREFIX, "part")]
@@ -330,20 +330,20 @@ def _entries(merged: DataFrame) -> DataFrame:
     return merged.where("part > -2").select("lang", *PREFIX, both).select("lang", *PREFIX, F.col("e.nexts").alias("next"), F.col("e.counts").alias("a"))
 
 
-def _heavy(counted: DataFrame, n: int, column: str) -> list[int]:
-    """Keys of ``column`` that begin 1/1024 of all words or more; there are at most 1024."""
-    found = counted.groupBy(column).agg(F.max("a").alias("a")).where(F.col("a") * HEAVY >= n).select(column).collect()
+def _heavy(counted: DataFrame, n: int) -> list[int]:
+    """Words that begin a phrase with 1/1024 of all occurrences or more; there are at most 1024."""
+    found = counted.groupBy("p1").agg(F.max("a").alias("a")).where(F.col("a") * HEAVY >= n).select("p1").collect()
     return [row[0] for row in found]
 
 
-def _pair_key() -> Callable[..., Column]:
-    """:func:`pair_keys` as a column."""
+def _gram_key(*words: str) -> Column:
+    """:func:`gram_keys` as a column."""
 
     @F.arrow_udf("long")
-    def pair_key(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(pair_keys(a.to_numpy(), b.to_numpy()))
+    def gram_key(*columns: pa.Array) -> pa.Array:
+        return pa.array(gram_keys([c.to_numpy() for c in columns]))
 
-    return pair_key
+    return gram_key(*words)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST, covered: int = COVERED, most_bits: int = MOST_BITS) -> DataFrame:
@@ -367,25 +367,26 @@ def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST, covere
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
     words = staged(_merged(_stripes(texts, 0), least), "words")
     sizes = words.groupBy("lang").agg(F.sum("total").alias("n"))
-    ones = _entries(words).select("lang", F.col("next").alias("p1"), "a")
     n = sizes.agg(F.sum("n")).first()[0] or 0
-    seen = _bitmap(ones.select(F.col("p1").alias("key")), most_bits)
-    pairs = staged(_merged(_stripes(texts, 1, seen, _heavy(ones, n, "p1")), least), "pairs")
-    twos = _entries(pairs)
-    seen = _bitmap(twos.select(_pair_key()("p1", "next").alias("key")), most_bits)
-    longer = staged(_merged(_stripes(texts, 2, seen, _heavy(twos, n, "p1")), least), "longer")
-    found = staged(_ranked(words, pairs, longer, first, covered), "phrases")
-    spelt = longer.where("part = -2").select(F.col("p1").alias("key"), "word")
+    longer, counted = [], _entries(words).select(F.col("next").alias("p1"), "a")
+    for length, key in enumerate((F.col("p1"), _gram_key("p1", "next"), _gram_key("p1", "p2", "next")), 1):
+        seen = _bitmap(counted.select(key.alias("key")), most_bits)
+        made = _merged(_stripes(texts, length, seen, _heavy(counted, n)), least)
+        longer.append(staged(made, f"stripes-{length}"))
+        seen.unpersist()
+        counted = _entries(longer[-1])
+    found = staged(_ranked(words, reduce(DataFrame.unionByName, longer), first, covered), "phrases")
+    spelt = longer[1].where("part = -2").select(F.col("p1").alias("key"), "word")
     out = _spelt(found, spelt, first).join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "lang")
     out = staged(out.select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations")
-    discard(words, pairs, longer, found)
+    discard(words, *longer, found)
     return out
 
 
-def _ranked(words: DataFrame, pairs: DataFrame, longer: DataFrame, first: int, covered: int) -> DataFrame:
+def _ranked(words: DataFrame, stripes: DataFrame, first: int, covered: int) -> DataFrame:
     """The best ``first`` of each language and all that tie with the last of them, as keys w1 to w4."""
     none = F.lit(0).cast("long")
-    entries = _entries(pairs).unionByName(_entries(longer))
+    entries = _entries(stripes)
     size = F.when(F.col("p2") == 0, 2).when(F.col("p3") == 0, 3).otherwise(4)
     phrases = entries.select("lang", F.array(*PREFIX).alias("p"), "next", "a", size.alias("size"))
     phrase = F.concat(F.slice("p", F.lit(1), F.col("size") - 1), F.array("next"))
@@ -403,7 +404,7 @@ def _ranked(words: DataFrame, pairs: DataFrame, longer: DataFrame, first: int, c
     score = F.expr("cast(2000000 * cast(a as decimal(20, 0)) div (cast(l as decimal(20, 0)) + cast(r as decimal(20, 0))) as long)")
     scored = cuts.groupBy("lang", "w", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
     # The most frequent extension to the right is the stripe's own; those to the left are entries of other stripes.
-    right = pairs.unionByName(longer).where("part > -2 AND p2 <> 0").select(F.array(*PREFIX).alias("p"), "best")
+    right = stripes.where("part > -2 AND p2 <> 0").select(F.array(*PREFIX).alias("p"), "best")
     right = right.select(F.filter("p", lambda x: x != 0).alias("w"), "best")
     left = phrases.where("size > 2").select(F.slice("w", F.lit(2), F.col("size") - 1).alias("w"), F.col("a").alias("best"))
     best = right.union(left).groupBy("w").agg(F.max("best").alias("best"))
