@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowquarry.llm import (
-    chat, forest, language, mixing, packing, phrases, prefixes, quality, runs, scoring, simhash, substrings,
+    chat, forest, language, mixing, packing, phrases, prefixes, quality, repeats, runs, scoring, simhash, substrings,
 )
 from flowquarry.llm.common import held_out, load
 
@@ -85,6 +85,14 @@ def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(load(spark, folder, "documents").select("lang", "text"))
 
 
+def documents_without_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that also begin elsewhere, as digests."""
+    cut = repeats.without_repeats(load(spark, folder, "documents").select("doc_id", "text"))
+    removed = F.aggregate("repeats.spans", F.lit(0).cast("long"), lambda n, span: n + span["length"])
+    return cut.select("doc_id", "repeats.n_bytes", removed.alias("n_removed"), F.size("repeats.spans").cast("long").alias("n_spans"),
+                      F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
 def collapsed_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Periodic runs of every document, and digests of them and of the text without their repeats."""
     docs = load(spark, folder, "documents").select("doc_id", "text")
@@ -121,6 +129,7 @@ QUERIES = {
     "op9_mixing": mixed_sources,
     "op10_chat": formatted_conversations,
     "op11_phrases": phrase_collocations,
+    "op12_repeats": documents_without_repeats,
     "op13_runs": collapsed_runs,
 }
 
@@ -167,7 +176,22 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM (
   JOIN nn USING (lang) WHERE rank <= 2000"""
 
 
+_REPEATS_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d)),
+hits AS (SELECT doc_id, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+spans AS (SELECT doc_id, min(i) AS b, max(i) + 200 AS e FROM (
+    SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
+      SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM hits))
+  GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS after FROM spans),
+cut AS (SELECT doc_id, sum(e - b) AS gone, count(*) AS n, max(e) AS last, string_agg(substr(h, 2 * after + 1, 2 * (b - after)), '' ORDER BY b) AS kept
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)"""
+
+
 SQL: dict[str, str] = {
     "op10_chat": _formatted_sql(),
     "op11_phrases": _PHRASES_SQL,
+    "op12_repeats": _REPEATS_SQL,
 }
