@@ -213,8 +213,7 @@ def _stripes(docs: DataFrame, length: int, bitmap=None, heavy: list[int] | None
             bits = np.frombuffer(bitmap.value, np.uint8)
 
             def member(keys: np.ndarray) -> np.ndarray:
-                at = keys.view(np.uint64) & np.uint64(len(bits) * 8 - 1)
-                return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                return in_bitmap(bits, keys)
 
         for lang, words, tail in _blocks(batches):
             made = _as_rows(lang, *block_stripes(words, length, member, tail), whole)
@@ -309,7 +308,7 @@ def _finished(rows: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
         yield _batch(langs, columns, words, [total[stays], best[stays]], begins, nexts[kept], counts[kept])
 
 
-def _bitmap(keys: DataFrame, most: int):
+def key_bitmap(keys: DataFrame, most: int):
     """A broadcast bitmap of the column ``key``, of 16 bits or more a key and at most ``most``."""
     count = keys.count()
     bits = min(most, 1 << max(16, (16 * count - 1).bit_length()))
@@ -324,6 +323,12 @@ def _bitmap(keys: DataFrame, most: int):
     return keys.sparkSession.sparkContext.broadcast(image.tobytes())
 
 
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys hit a bitmap of :func:`key_bitmap`, given as bytes."""
+    at = keys.view(np.uint64) & np.uint64(len(bits) * 8 - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def _entries(merged: DataFrame) -> DataFrame:
     """``lang, p1, p2, p3, next, a`` of every kept entry."""
     both = F.explode(F.arrays_zip("nexts", "counts")).alias("e")
@@ -370,7 +375,7 @@ def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST, covere
     n = sizes.agg(F.sum("n")).first()[0] or 0
     longer, counted = [], _entries(words).select(F.col("next").alias("p1"), "a")
     for length, key in enumerate((F.col("p1"), _gram_key("p1", "next"), _gram_key("p1", "p2", "next")), 1):
-        seen = _bitmap(counted.select(key.alias("key")), most_bits)
+        seen = key_bitmap(counted.select(key.alias("key")), most_bits)
         made = _merged(_stripes(texts, length, seen, _heavy(counted, n)), least)
         longer.append(staged(made, f"stripes-{length}"))
         seen.unpersist()

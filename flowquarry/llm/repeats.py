@@ -10,15 +10,16 @@ begins in one context alone.
    pieces at fixed places around it. Hashes of these pieces, 48 bits each, are dealt
    to buckets; those that come twice make a bitmap of 4 to 8 bits a hash,
    ``MOST_BITS`` at most. A full one lets more anchors through, nothing else.
-2. Contexts whose pieces hit the bitmap go to the task of their anchor's key, equal
-   ones of a task once. There an enhanced suffix array over the differing contexts is
-   scanned with a stack: intervals of suffixes that share ``least`` bytes or more and
-   have differing bytes before them are the maximal repeats, with all their places.
-3. Keys with more than ``CROWD`` contexts are not solved in one task: the suffixes
+2. Contexts whose pieces hit the bitmap are counted by 128-bit names, without their
+   text. One that occurs twice is a repeat as a whole.
+3. Only where an anchor has several contexts their texts are needed: these go to the
+   task of the anchor's key, equal ones of a block once. There an enhanced suffix array
+   over the contexts is scanned with a stack: intervals of suffixes that share ``least``
+   bytes or more and have differing bytes before them are the maximal repeats, with all
+   their places.
+4. Keys with more than ``CROWD`` contexts are not solved in one task: the suffixes
    of their contexts are dealt by their first ``least`` bytes instead, and those
    that meet another one are repeats.
-
-A context that occurs twice is a repeat as a whole and needs no search.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.llm.common import bounded, staged, unused
+from flowquarry.llm.phrases import in_bitmap, key_bitmap
 from flowquarry.llm.suffixes import Suffixes, ranges
 
 LEAST = 200
@@ -40,7 +42,7 @@ PIECES = 4
 #: Bytes of text whose anchors are found at once, and of contexts searched at once.
 BLOCK = 1 << 18
 SEARCH = 1 << 20
-#: Hashes a task holds before it deals them, and those of a bucket.
+#: Hashes a task holds before it deals them, and about as many a bucket.
 HELD = 1 << 21
 MOST_BITS = 1 << 30
 CROWD = 4096
@@ -230,38 +232,74 @@ def _bitmap(dealt: DataFrame, bits: int, buckets: int):
     return dealt.sparkSession.sparkContext.broadcast((width, whole.tobytes()))
 
 
-CONTEXTS = "key long, name binary, context binary, places array<struct<id: long, missing: boolean, text: long, begin: long>>"
+PLACES = "key long, name binary, length int, places array<struct<id: long, missing: boolean, text: long, begin: long>>"
+CONTEXTS = "key long, name binary, context binary"
+
+
+def _chosen(batches: Iterator[pa.RecordBatch], least: int, bitmap) -> Iterator[tuple]:
+    """Blocks with the anchors whose pieces hit the bitmap."""
+    width, image = bitmap.value
+    bits = np.frombuffer(image, np.uint8)
+    for data, found, names, begins in _blocks(batches, least):
+        hashes, inside = found.pieces()
+        where = hashes >> np.uint64(_BITS - width)
+        hit = (bits[where >> np.uint64(3)] >> (where & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        yield data, found, names, begins, np.flatnonzero((hit & inside).any(axis=1))
+
+
+def _name(context: bytes) -> bytes:
+    return hashlib.blake2b(context, digest_size=16).digest()
+
 
+def _rows(rows: list, kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
-def _contexts(texts: DataFrame, least: int, bitmap) -> DataFrame:
-    """Contexts of the anchors that hit the bitmap, equal ones of a block once, with all places."""
+
+def _places(texts: DataFrame, least: int, bitmap) -> DataFrame:
+    """Names of the contexts of all anchors that hit the bitmap, and where they begin; those of a block together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, image = bitmap.value
-        bits = np.frombuffer(image, np.uint8)
-        schema = pa.schema([
-            ("key", pa.int64()), ("name", pa.binary()), ("context", pa.binary()),
-            ("places", pa.list_(pa.struct([("id", pa.int64()), ("missing", pa.bool_()), ("text", pa.int64()), ("begin", pa.int64())])))])
+        place = pa.struct([("id", pa.int64()), ("missing", pa.bool_()), ("text", pa.int64()), ("begin", pa.int64())])
+        kinds = {"key": pa.int64(), "name": pa.binary(), "length": pa.int32(), "places": pa.list_(place)}
         held: dict[tuple, list] = {}
-        for data, found, names, begins in _blocks(batches, least):
-            hashes, inside = found.pieces()
-            where = hashes >> np.uint64(_BITS - width)
-            hit = (bits[where >> np.uint64(3)] >> (where & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            chosen = np.flatnonzero((hit & inside).any(axis=1))
-            first, last = found.first[chosen], found.last[chosen]
+        for data, found, names, begins, chosen in _chosen(batches, least, bitmap):
             text_begin = found.begin[found.at[chosen]]
-            number = np.searchsorted(np.unique(found.begin), text_begin) if len(names) > 1 else np.zeros(len(chosen), int)
-            keys = found.key[chosen].view(np.int64).tolist()
-            for key, i, j, k, b in zip(keys, first.tolist(), last.tolist(), number.tolist(), text_begin.tolist(), strict=True):
-                context = data[i:j]
-                name = hashlib.blake2b(context, digest_size=16).digest()
-                row = held.setdefault((key, name), [key, name, context, []])
-                row[3].append(dict(zip(("id", "missing", "text"), names[k], strict=True)) | {"begin": i - b + int(begins[k])})
-            if len(held) > 4000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held.values(), strict=True), schema.types, strict=True)], schema=schema)
+            number = np.searchsorted(np.unique(found.begin), text_begin)
+            columns = found.key[chosen].view(np.int64), found.first[chosen], found.last[chosen], number, begins[number] - text_begin
+            for key, first, last, k, shift in zip(*[c.tolist() for c in columns], strict=True):
+                name = _name(data[first:last])
+                row = held.setdefault((key, name), (key, name, last - first, []))
+                row[3].append(dict(zip(("id", "missing", "text"), names[k], strict=True)) | {"begin": first + shift})
+            if len(held) > 10_000:
+                yield _rows(list(held.values()), kinds)
                 held = {}
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held.values(), strict=True), schema.types, strict=True)], schema=schema)
+            yield _rows(list(held.values()), kinds)
+
+    return texts.mapInArrow(run, PLACES)
+
+
+def _contexts(texts: DataFrame, least: int, bitmap, mixed) -> DataFrame:
+    """The contexts of anchors that hit both bitmaps; equal ones of a block once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(mixed.value, np.uint8)
+        kinds = {"key": pa.int64(), "name": pa.binary(), "context": pa.binary()}
+        held: dict[tuple, tuple] = {}
+        for data, found, _, _, chosen in _chosen(batches, least, bitmap):
+            keys = found.key[chosen].view(np.int64)
+            chosen = chosen[in_bitmap(bits, keys)]
+            columns = found.key[chosen].view(np.int64), found.first[chosen], found.last[chosen]
+            for key, first, last in zip(*[c.tolist() for c in columns], strict=True):
+                context = data[first:last]
+                name = _name(context)
+                held[key, name] = (key, name, context)
+            if len(held) > 10_000:
+                yield _rows(list(held.values()), kinds)
+                held = {}
+        if held:
+            yield _rows(list(held.values()), kinds)
 
     return texts.mapInArrow(run, CONTEXTS)
 
@@ -315,43 +353,38 @@ RESULTS = "key long, name binary, begins array<int>, lengths array<int>, groups
 def _solved(contexts: DataFrame, least: int, groups: bool) -> DataFrame:
     """Where the contexts of each key repeat: merged stretches, or every maximal repeat with a name for its string.
 
-    ``contexts`` has ``key, name, context, count``; the rows of a key come one after
-    the other, equal contexts too.
+    ``contexts`` has ``key, name, context``; the rows of a key come one after the
+    other, equal contexts too.
     """
 
+    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        near = [i for i, r in enumerate(rows) if (i and rows[i - 1][0] == r[0]) or (i + 1 < len(rows) and rows[i + 1][0] == r[0])]
+        found: dict[int, list[tuple]] = {}
+        for length, number, begin in maximal_repeats([rows[i][2] for i in near], least) if near else ():
+            for k, b in zip(number.tolist(), begin.tolist(), strict=True):
+                found.setdefault(near[k], []).append((b, length))
+        out = []
+        for i, places in found.items():
+            key, name, context = rows[i]
+            places = sorted(set(places)) if groups else merged(places)
+            marks = [_name(context[b : b + n]) for b, n in places] if groups else []
+            out.append((key, name, [b for b, _ in places], [n for _, n in places], marks))
+        if out:
+            yield _rows(out, {"key": pa.int64(), "name": pa.binary(), "begins": pa.list_(pa.int32()), "lengths": pa.list_(pa.int32()),
+                              "groups": pa.list_(pa.binary())})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = []  # key, name, context, count
+        held: list[tuple] = []
         size = 0
-
-        def solve(rows: list[list]) -> Iterator[pa.RecordBatch]:
-            found: dict[int, list[tuple]] = {i: [(0, len(r[2]))] for i, r in enumerate(rows) if r[3] > 1}
-            near = [i for i, r in enumerate(rows) if (i and rows[i - 1][0] == r[0]) or (i + 1 < len(rows) and rows[i + 1][0] == r[0])]
-            if near:
-                for length, number, begin in maximal_repeats([rows[i][2] for i in near], least):
-                    for k, b in zip(number.tolist(), begin.tolist(), strict=True):
-                        found.setdefault(near[k], []).append((b, length))
-            out = []
-            for i, places in found.items():
-                key, name, context, _ = rows[i]
-                places = sorted(set(places)) if groups else merged(places)
-                marks = [hashlib.blake2b(context[b : b + n], digest_size=16).digest() for b, n in places] if groups else []
-                out.append((key, name, [b for b, _ in places], [n for _, n in places], marks))
-            if out:
-                kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
-                                                 names=["key", "name", "begins", "lengths", "groups"])
-
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                key, name, context, count = row
-                if held and held[-1][0] == key and held[-1][1] == name:
-                    held[-1][3] += count
+                if held and held[-1][:2] == row[:2]:
                     continue
-                if size > SEARCH and held[-1][0] != key:
+                if size > SEARCH and held[-1][0] != row[0]:
                     yield from solve(held)
                     held, size = [], 0
-                held.append(list(row))
-                size += len(context)
+                held.append(row)
+                size += len(row[2])
         if held:
             yield from solve(held)
 
@@ -376,25 +409,21 @@ def _crowded(contexts: DataFrame, least: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"key": pa.int64(), "name": pa.binary(), "head": pa.binary(), "begin": pa.int32()}
         for batch in batches:
-            for key, name, context in zip(*[batch.column(c).to_pylist() for c in ("key", "name", "context")], strict=True):
-                starts = range(len(context) - least + 1)
-                heads = [hashlib.blake2b(context[i : i + least], digest_size=16).digest() for i in starts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * len(heads)), pa.array([name] * len(heads), pa.binary()), pa.array(heads, pa.binary()), pa.array(list(starts), pa.int32())],
-                    names=["key", "name", "head", "begin"])
-
-    distinct = contexts.groupBy("key", "name").agg(F.sum("count").alias("count"), F.first("context").alias("context"))
-    suffixes = staged(distinct.where("count = 1").mapInArrow(run, "key long, name binary, head binary, begin int"), "suffixes")
-    # A context that occurs more often is a repeat as a whole; a suffix it shares with others is one there too.
-    often = distinct.where("count > 1").mapInArrow(run, "key long, name binary, head binary, begin int").select("head")
-    heads = suffixes.select("head").unionAll(often).groupBy("head").agg(F.count("*").alias("n"))
-    again = suffixes.join(heads.where("n > 1"), "head", "left_semi")
-    none = F.expr("cast(array() as array<binary>)").alias("groups")
-    found = again.groupBy("key", "name").agg(F.collect_list("begin").alias("begins"))
-    found = found.select("key", "name", "begins", F.transform("begins", lambda _: F.lit(least)).alias("lengths"), none)
-    whole = distinct.where("count > 1").select("key", "name", F.array(F.lit(0)).alias("begins"), F.array(F.length("context")).alias("lengths"), none)
-    return found.unionByName(whole)
+            for key, name, context in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                yield _rows([(key, name, _name(context[i : i + least]), i) for i in range(len(context) - least + 1)], kinds)
+
+    distinct = contexts.groupBy("key", "name").agg(F.first("context").alias("context"))
+    suffixes = staged(distinct.mapInArrow(run, "key long, name binary, head binary, begin int"), "suffixes")
+    heads = suffixes.groupBy("head").agg(F.count("*").alias("n")).where("n > 1")
+    found = suffixes.join(heads, "head", "left_semi").groupBy("key", "name").agg(F.collect_list("begin").alias("begins"))
+    return found.select("key", "name", "begins", F.transform("begins", lambda _: F.lit(least)).alias("lengths"), _none())
+
+
+def _none() -> Column:
+    """No names of groups."""
+    return F.expr("cast(array() as array<binary>)").alias("groups")
 
 
 def _named(docs: DataFrame, row_id: str, text: str) -> list[Column]:
@@ -413,25 +442,33 @@ def _found(docs: DataFrame, row_id: str, text: str, least: int, groups: bool) ->
     bits = min(MOST_BITS, 1 << max(16, (4 * hashes).bit_length()))
     buckets = min(1 << 12, max(64, 1 << (hashes // HELD).bit_length()))
     bitmap = _bitmap(_dealt(texts, least, buckets), bits, buckets)
-    near = staged(_contexts(texts, least, bitmap), "contexts")
-    bitmap.unpersist()
-    rows = near.select("key", "name", "context", F.size("places").cast("long").alias("count"))
-    crowds = staged(near.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), "crowds")
-    kept = [near, crowds]
-    usual = rows
-    if not crowds.isEmpty():
-        usual = rows.join(crowds, "key", "left_anti")
+    places = staged(_places(texts, least, bitmap), "places")
+    counted = places.groupBy("key", "name").agg(F.sum(F.size("places")).alias("n"), F.first("length").alias("length"))
+    counted = staged(counted, "counted")
+    keys = counted.groupBy("key").agg(F.count("*").alias("n"))
+    crowds = staged(keys.where(F.col("n") > CROWD).select("key"), "crowds")
+    mixed = key_bitmap(keys.where("n > 1").select("key"), MOST_BITS)
+    contexts = _contexts(texts, least, bitmap, mixed)
+    crowded = not crowds.isEmpty()
+    if crowded:
+        contexts = staged(contexts, "contexts")
+    usual = contexts.join(crowds, "key", "left_anti") if crowded else contexts
     solved = _solved(usual.repartition("key").sortWithinPartitions("key", "name"), least, groups)
-    if not crowds.isEmpty():
-        solved = solved.unionByName(_crowded(rows.join(crowds, "key", "left_semi"), least))
-    solved = staged(solved, "solved")
-    places = near.select("key", "name", F.explode("places").alias("place")).join(solved, ["key", "name"])
+    if crowded:
+        solved = solved.unionByName(_crowded(contexts.join(crowds, "key", "left_semi"), least))
+    whole = F.when(F.lit(groups), F.array("name")).otherwise(_none()).alias("groups")
+    twice = counted.where("n > 1").select("key", "name", F.array(F.lit(0)).alias("begins"), F.array("length").alias("lengths"), whole)
+    solved = staged(solved.unionByName(twice), "solved")
+    bitmap.unpersist()
+    mixed.unpersist()
+    used = [places, counted, crowds, solved] + ([contexts] if crowded else [])
+    places = places.select("key", "name", F.explode("places").alias("place")).join(solved, ["key", "name"])
     part = F.explode(F.arrays_zip("begins", "lengths", "groups")).alias("part")
     places = places.select("place", part)
     begin = (F.col("place.begin") + F.col("part.begins")).cast("long").alias("begin")
     found = places.select("place.id", "place.missing", "place.text", begin, F.col("part.lengths").cast("long").alias("length"),
                           F.col("part.groups").alias("group"))
-    return found.distinct(), [*kept, solved]
+    return found.distinct(), used
 
 
 def repeat_groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
