@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
@@ -18,8 +19,9 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.operators import metrics, prepare
+from flowquarry.operators import metrics, neighbors, prepare
 from flowquarry.operators.skew import one_row
+from flowquarry.runtime import cut_lineage
 
 # Searched settings of the boosted trees.
 BOOSTED_GRID = {
@@ -260,3 +262,96 @@ def prepare_training(
     ready = scaler.transform(encode(split)).persist()
     parts = {name: ready.filter(F.col("split") == name).drop("split") for name in ("train", "val", "test")}
     return Prepared(parts["train"], parts["val"], parts["test"], codes, scaler)
+
+
+def progress(
+    ranked: DataFrame, val: DataFrame, columns: Sequence[str], key: Sequence[str], fitted: Callable, settings, rounds: int = 25,
+) -> tuple[DataFrame, object, int]:
+    """Growing nested samples, all rounds in step: metrics per round, the model of the best round, and its number.
+
+    ``ranked`` carries ``rn`` and ``n_class`` from ``ranked_in_class``; ``fitted`` is the ``fit_many`` of a model
+    family. The first round of strictly highest validation accuracy is the best one.
+    """
+    shares = [prepare.round_share(n, rounds) for n in range(rounds)]
+    none = F.lit(0).cast("long")
+    both = ranked.withColumn("fold", F.lit(0)).unionByName(val.withColumns({"fold": F.lit(-1), "rn": none, "n_class": none}), allowMissingColumns=True)
+    models, scores = fitted(both, columns, key, [(settings, None, share) for share in shares], "fold")
+    found = {(r["fit"], r["fold"]): r for r in scores.collect()}  # two rows a round
+    rows = [(n, share, found[n, 0]["rows"], *_rates(found[n, 0]), *_rates(found[n, -1])) for n, share in enumerate(shares)]
+    names = ("accuracy", "precision", "recall", "f1", "log_loss")
+    table = ranked.sparkSession.createDataFrame(rows, ["round", "share", "train_size", *[f"{p}_{n}" for p in ("train", "val") for n in names]])
+    best = max(range(rounds), key=lambda n: found[n, -1]["right"])
+    return table, models[best], best
+
+
+def _rates(found) -> tuple[float, ...]:
+    """Accuracy, precision, recall, F1 and log loss from the measures of a fit."""
+    rows, hits = max(found["rows"], 1), found["hits"]
+    precision, recall = hits / max(hits + found["alarms"], 1), hits / max(hits + found["misses"], 1)
+    f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
+    return found["right"] / rows, precision, recall, f1, found["loss"] / rows
+
+
+def share_curve(
+    df: DataFrame, columns: Sequence[str], key: Sequence[str], order: Sequence[str], fitted: Callable, settings,
+    shares: Sequence[float] = tuple(i / 10 for i in range(1, 11)), folds: int = 5, fold: str = "fold",
+) -> DataFrame:
+    """Learning curve with all shares and folds in step: sizes, mean and deviation of both accuracies per share.
+
+    A share takes the first rows of each class of each fold, so that the samples are nested.
+    """
+    both = prepare.ranked_in_class(df.withColumn("_class", F.struct(fold, "label")), order, "_class").drop("_class")
+    fits = [(settings, f, share) for share in shares for f in range(folds)]
+    _, scores = fitted(both, columns, key, fits, fold)
+    marks = F.col("fit").alias("fit"), F.floor(F.col("fit") / folds).cast("int").alias("at"), (F.col("fit") % folds == F.col("fold")).alias("held")
+    sums = scores.select(*marks, "rows", "right").groupBy("at", "fit").agg(
+        F.sum(F.when(~F.col("held"), F.col("rows"))).alias("size"),
+        *[(F.sum(F.when(F.col("held") == h, F.col("right"))) / F.sum(F.when(F.col("held") == h, F.col("rows")))).alias(n)
+          for n, h in (("train", False), ("val", True))])
+    share = F.element_at(F.array(*[F.lit(float(s)) for s in shares]), F.col("at") + 1).alias("share")
+    return sums.select(share, "size", "train", "val").groupBy("share").agg(
+        F.avg("size").alias("size"), F.avg("train").alias("train_mean"), F.stddev_pop("train").alias("train_std"),
+        F.avg("val").alias("val_mean"), F.stddev_pop("val").alias("val_std"),
+    ).orderBy("share")
+
+
+def neighbour_probability(
+    train: DataFrame, queries: DataFrame, columns: Sequence[str], key: Sequence[str], fold: str = "fold", k: int = 7, metric: str = "manhattan",
+) -> DataFrame:
+    """``queries`` with ``p_knn`` and ``pred_knn``, voted by the nearest ``train`` rows of other folds, in one search."""
+    marked = [F.xxhash64(*key).alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("features"), F.col(fold).alias("fold")]
+    near = neighbors.nearest(train.select(*marked, "label"), queries.select(*marked), k, metric, by_fold=True)
+    found = neighbors.votes(near).select(F.col("id").alias("_id"), F.col("p").alias("p_knn"), F.col("pred").alias("pred_knn"))
+    return queries.join(found, F.xxhash64(*key) == F.col("_id"), "left").drop("_id")
+
+
+@dataclass
+class Stacked:
+    """A meta-model over out-of-fold probabilities, and the rows it was asked for."""
+
+    meta: PipelineModel
+    scored: DataFrame
+    learnt: DataFrame
+
+
+def stack_out_of_fold(
+    train: DataFrame, asked: DataFrame, columns: Sequence[str], key: Sequence[str], families: dict[str, tuple[Callable, object]],
+    folds: int = 3, fold: str = "fold",
+) -> Stacked:
+    """Neighbours and the ``families`` (name to ``fit_many`` and settings) stacked by a logistic regression.
+
+    Every family fits its folds and the whole in step, the neighbours of all folds are found
+    in one search. ``scored`` are the rows of ``asked`` with ``pred_*`` and ``p_*`` of every base
+    model and of the stack; ``learnt`` the training rows with out-of-fold probabilities.
+    """
+    both = train.unionByName(asked.withColumn(fold, F.lit(-1)))
+    scored = neighbour_probability(train, both, columns, key, fold)
+    for name, (fitted, settings) in families.items():
+        models, _ = fitted(train, columns, key, [(settings, f) for f in (*range(folds), None)], fold)
+        parts = [m.transform(scored.where(F.col(fold) == (f if f < folds else -1)), name) for f, m in enumerate(models)]
+        scored = reduce(DataFrame.unionByName, parts)
+    scored = cut_lineage(scored)
+    inputs = ["p_knn", *[f"p_{n}" for n in families]]
+    learnt, rows = scored.where(F.col(fold) >= 0), scored.where(F.col(fold) < 0)
+    meta = assembled(LogisticRegression(), inputs).fit(learnt)
+    return Stacked(meta, stack(meta, rows), learnt)
