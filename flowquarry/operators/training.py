@@ -70,7 +70,12 @@ def score_with(models: dict[str, Transformer], df: DataFrame) -> DataFrame:
 
 def evaluate(model: Transformer, df: DataFrame) -> DataFrame:
     """Binary metrics, log loss and the number of rows in one row."""
-    out = predictions(model, df).select("label", "pred", "p")
+    return evaluate_scored(predictions(model, df))
+
+
+def evaluate_scored(scored: DataFrame) -> DataFrame:
+    """The same from rows with ``label, pred, p``."""
+    out = scored.select("label", "pred", "p")
     return one_row(metrics.binary_metrics(out), metrics.log_loss(out), out.agg(F.count("*").alias("rows")))
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowquarry.operators import boosting as B
 from flowquarry.operators import ensemble as H
 from flowquarry.operators import neighbors as K
+from flowquarry.operators import perceptron as P
 from flowquarry.operators import prepare as E
 from flowquarry.operators import training as M
 from flowquarry.operators.isolation import IsolationForest
@@ -68,14 +70,20 @@ def _test_scores(spark, folder, classifier):
     return M.evaluate(M.assembled(classifier, _FEATURES).fit(ready.train), ready.test)
 
 
+def _family_scores(spark, folder, fitted, settings):
+    ready = _prepared(spark, folder)
+    train = ready.train.withColumn("fold", F.lit(0))
+    return M.evaluate_scored(fitted(train, _FEATURES, TRAIN_KEY, [(settings, None)])[0][0].transform(ready.test))
+
+
 @query("boosted_trees", "F03")
 def _(spark, folder):
-    return _test_scores(spark, folder, M.boosted_trees())
+    return _family_scores(spark, folder, B.fit_many, B.Settings())
 
 
 @query("perceptron", "F04")
 def _(spark, folder):
-    return _test_scores(spark, folder, M.perceptron(len(_FEATURES)))
+    return _family_scores(spark, folder, P.fit_many, P.Settings())
 
 
 @query("random_forest_baseline", "F05")
@@ -90,23 +98,57 @@ def _(spark, folder):
     return forest.transform(rows).select(*TRAIN_KEY, "anomaly_score", "is_anomaly")
 
 
+def _in_folds(spark, folder):
+    """Training rows on three folds, validation rows on fold -1, and all parts."""
+    ready = _prepared(spark, folder)
+    train = ready.train.withColumn("fold", (F.col("mix") % 3).cast("int"))
+    return train.unionByName(ready.val.withColumn("fold", F.lit(-1))), train, ready
+
+
 @query("stacked_vote", "F08 H06")
 def _(spark, folder):
-    ready = _prepared(spark, folder)
-    models = M.fit_base_models(ready.train, _FEATURES, _base_models())
-    meta = M.fit_stacking(ready.train, _FEATURES, _base_models(), folds=5)
-    weights = dict.fromkeys(models, 1.0)
-    scored = M.stack(meta, M.score_with(models, ready.test))
-    return scored.select(*TRAIN_KEY, "label", H.vote("stacking", weights).alias("prediction"), "p_stack")
+    """Neighbours, perceptron and boosted trees, stacked on out-of-fold probabilities."""
+    _, train, ready = _in_folds(spark, folder)
+    families = {"mlp": (P.fit_many, P.Settings()), "xgb": (B.fit_many, B.Settings())}
+    stacked = M.stack_out_of_fold(train, ready.test.drop("fold"), _FEATURES, TRAIN_KEY, families)
+    weights = dict.fromkeys(("knn", *families), 1.0)
+    return stacked.scored.select(*TRAIN_KEY, "label", H.vote("stacking", weights).alias("prediction"), "p_stack")
+
+
+def _searched(found):
+    """The three best draws with the validation accuracy of the best."""
+    return K.top_settings(found.table).withColumn("best_val_accuracy", F.lit(float(found.validation)))
 
 
-@query("random_search", "F09 F10")
+@query("random_search", "F09 F10 F03")
 def _(spark, folder):
-    """15 draws of the whole grid, each fitted on every fold with all of its own rounds."""
+    """15 draws of the whole grid on three folds, each with all of its own rounds."""
+    rows, _, _ = _in_folds(spark, folder)
+    return _searched(B.search(rows, _FEATURES, TRAIN_KEY, B.draws()))
+
+
+@query("perceptron_search", "F09 F10 F04")
+def _(spark, folder):
+    """15 draws of sizes, activation, solver, L2 and schedule on three folds."""
+    rows, _, _ = _in_folds(spark, folder)
+    found = B.search(rows, _FEATURES, TRAIN_KEY, B.draws(P.GRID, kind=P.Settings), fitted=P.fit_many, grid=P.GRID)
+    return _searched(found)
+
+
+def _progress(spark, folder, fitted, settings):
     ready = _prepared(spark, folder)
-    found = M.random_search(ready.train, _FEATURES, M.boosted_trees(), M.BOOSTED_GRID, folds=5)
-    on_val = M.evaluate(found.model, ready.val).first()
-    return K.top_settings(found.as_table(spark)).withColumn("best_val_accuracy", F.lit(float(on_val["accuracy"])))
+    ranked = E.ranked_in_class(ready.train, _ORDER)
+    return M.progress(ranked, ready.val, _FEATURES, TRAIN_KEY, fitted, settings)[0]
+
+
+@query("progressive_boosting", "F11 F13")
+def _(spark, folder):
+    return _progress(spark, folder, B.fit_many, B.Settings())
+
+
+@query("progressive_perceptron", "F11 F13")
+def _(spark, folder):
+    return _progress(spark, folder, P.fit_many, P.Settings())
 
 
 @query("progressive_training", "F11 F13")
@@ -118,9 +160,9 @@ def _(spark, folder):
 
 @query("learning_curve", "F14")
 def _(spark, folder):
-    """Ten shares by five folds; every fold is held out once."""
+    """Ten shares by five folds, all in step; every fold is held out once."""
     ready = _prepared(spark, folder)
-    return M.learning_curve(ready.train, _FEATURES, M.random_forest(numTrees=10), _ORDER)
+    return M.share_curve(ready.train, _FEATURES, TRAIN_KEY, _ORDER, B.fit_many, B.Settings())
 
 
 @query("saved_models", "F15 F16 L3")

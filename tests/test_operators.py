@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowquarry.operators import neighbors, ordered, prepare, sessions, skew, training
+from flowquarry.operators import boosting, neighbors, ordered, perceptron, prepare, sessions, skew, training
 from flowquarry.operators.isolation import IsolationForest
 from flowquarry.plans import CATALOGUE
 
@@ -151,7 +151,24 @@ def test_isolation_forest_finds_the_outlier(spark):
     assert again.trees == forest.trees
 
 
-def test_search_compares_draws_with_all_their_rounds(spark, folder, monkeypatch):
+@pytest.mark.parametrize("name, family, grid", [("random_search", boosting, boosting.GRID), ("perceptron_search", perceptron, perceptron.GRID)])
+def test_search_compares_whole_draws_on_all_folds(spark, folder, monkeypatch, name, family, grid):
+    class Seen(Exception):
+        pass
+
+    def fit(df, columns, key, fits, fold):
+        raise Seen(fits, df.groupBy(fold).count().count())
+
+    monkeypatch.setattr(boosting.search, "__defaults__", tuple(fit if x is boosting.fit_many else x for x in boosting.search.__defaults__))
+    monkeypatch.setattr(perceptron, "fit_many", fit)
+    with pytest.raises(Seen) as seen:
+        CATALOGUE[name].build(spark, folder)
+    drawn = boosting.draws(grid, 15, kind=family.Settings)
+    assert len(set(drawn)) == 15
+    assert seen.value.args == ([(s, f) for s in drawn for f in (0, 1, 2, None)], 4)
+
+
+def test_mllib_search_compares_draws_with_all_their_rounds(spark, monkeypatch):
     class Seen(Exception):
         pass
 
@@ -160,6 +177,52 @@ def test_search_compares_draws_with_all_their_rounds(spark, folder, monkeypatch)
 
     monkeypatch.setattr(training.CrossValidator, "fit", fit)
     with pytest.raises(Seen) as seen:
-        CATALOGUE["random_search"].build(spark, folder)
+        training.random_search(spark.range(1), ["id"], training.boosted_trees(), training.BOOSTED_GRID, folds=5)
     drawn = training.sampled_grid(training.boosted_trees(), training.BOOSTED_GRID, 15)
     assert seen.value.args[0] == [m[p] for m in drawn for p in m if p.name == "maxIter"]
+
+
+def test_neighbours_of_other_folds(spark):
+    """One search for all folds equals a search per fold."""
+    rng = np.random.default_rng(6)
+    points = rng.integers(0, 5, size=(200, 2)).astype(float)
+    rows = [(i, p.tolist(), i % 2, (i // 7) % 4 - 1) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "id long, features array<double>, label int, fold int")
+    train = df.where("fold >= 0")
+    got = {}
+    for r in neighbors.nearest(train, df, 5, by_fold=True, chunk=30).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["distance"], r["neighbor"]))
+    for fold in (-1, 0, 1, 2):
+        near = neighbors.nearest(train.where(F.col("fold") != fold), df.where(F.col("fold") == fold), 5)
+        want = {}
+        for r in near.collect():
+            want.setdefault(r["id"], []).append((r["rank"], r["distance"], r["neighbor"]))
+        assert all(sorted(got[i]) == sorted(want[i]) for i in want) and len(want) == df.where(F.col("fold") == fold).count()
+
+
+def test_progress_curve_and_stack(spark):
+    """Nested shares, the first best round, and a stack that beats the majority."""
+    rng = np.random.default_rng(7)
+    x = rng.random((600, 2))
+    rows = [(i, float(a), float(b), int((a > 0.5) != (b > 0.5)), i % 5, i) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label int, fold int, mix long").cache()
+    settings = boosting.Settings(rounds=6, depth=3, rate=0.3)
+    train, val = df.where("fold < 4"), df.where("fold = 4")
+    ranked = prepare.ranked_in_class(train, ["mix"])
+    table, model, best = training.progress(ranked.drop("fold"), val.drop("fold"), ["a", "b"], ["id"], boosting.fit_many, settings, rounds=4)
+    found = {r["round"]: r for r in table.collect()}
+    sizes = {r["round"]: r["train_size"] for r in prepare.round_sizes(train, 4).groupBy("round").agg(F.sum("size").alias("train_size")).collect()}
+    assert {n: r["train_size"] for n, r in found.items()} == sizes
+    assert best == min(found, key=lambda n: (-found[n]["val_accuracy"], n)) and found[best]["val_accuracy"] > 0.85
+    judged = training.evaluate_scored(model.transform(val)).first()
+    for name in ("accuracy", "precision", "recall", "f1", "log_loss"):
+        assert abs(judged[name] - found[best][f"val_{name}"]) < 1e-9, name
+    curve = training.share_curve(df, ["a", "b"], ["id"], ["mix"], boosting.fit_many, settings, shares=(0.25, 0.5, 1.0)).collect()
+    assert [r["share"] for r in curve] == [0.25, 0.5, 1.0] and curve[2]["size"] == 480 and curve[2]["val_mean"] > 0.85
+    assert curve[0]["size"] < 0.26 * 480 and curve[0]["train_std"] >= 0
+    folded = train.withColumn("fold", (F.col("fold") % 3).cast("int"))
+    families = {"mlp": (perceptron.fit_many, perceptron.Settings(hidden=(8,), epochs=8, rate=0.02)), "xgb": (boosting.fit_many, settings)}
+    stacked = training.stack_out_of_fold(folded, val.drop("fold"), ["a", "b"], ["id"], families)
+    scored = stacked.scored.select("id", "label", "pred_stack", "p_knn", "p_mlp", "p_xgb").collect()
+    assert len(scored) == val.count() and stacked.learnt.where("p_knn IS NULL").count() == 0
+    assert sum(r["label"] == r["pred_stack"] for r in scored) / len(scored) > 0.85
