@@ -9,6 +9,8 @@ A passage can also sit in the middle of otherwise different paragraphs. There th
 text is cut by its own content: in every run of ``WINDOW`` shingles the one of
 least hash (its MinHash) starts a passage of ``LEAST`` words. Whatever text of
 ``WINDOW + LEAST + 4`` words or more two documents share, they share a passage.
+That length, 45 words, is the promise: shorter shared texts, from ``LEAST`` words on,
+are found only if one of their passages happens to start where they do.
 
 Of each cluster the document of smallest doc_id keeps its text, and every other
 document loses its occurrences. Repetition inside one document is left alone.
@@ -212,9 +214,10 @@ def repeated_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``source_id`` is the smallest doc_id that keeps one of the clusters of the span.
     Rows without doc_id or text, and texts of fewer than ``LEAST`` words, neither
     lose nor keep anything; rows repeated under one doc_id are one document, and
-    so only give other documents something to lose. Extra columns are ignored and
-    an empty table gives no spans. Up to ``WINDOW`` words at either end of a
-    passage inside paragraphs stay.
+    so only give other documents something to lose. Extra columns are ignored, an
+    empty table gives no spans, and texts of any length are read whole. Up to
+    ``WINDOW`` words at either end of a passage inside paragraphs stay, and shared
+    texts of fewer than ``WINDOW + LEAST + 4`` words inside paragraphs may be missed.
     """
     spark = docs.sparkSession
     bounded(spark)

@@ -128,7 +128,8 @@ def test_long_lists_of_edited_copies(spark, monkeypatch):
     random.seed(12)
     base = [f"w{random.randrange(10**6)}" for _ in range(60)]
     rows = [(i, " ".join(f"{w}x" if k == i % 60 else w for k, w in enumerate(base))) for i in range(1, 60)]
-    twins = [(100 + i, " ".join([*base[:30], *[f"t{i // 2}u{k}" for k in range(28)], str(i)])) for i in range(40)]
+    long = WINDOW + substrings.LEAST + 4  # the length from which a passage inside paragraphs is always found
+    twins = [(100 + i, " ".join([*base[:long], *[f"t{i // 2}u{k}" for k in range(58 - long)], str(i)])) for i in range(40)]
     docs = spark.createDataFrame([*rows, (60, " ".join(base)), (61, " ".join(base)), *twins], "doc_id long, text string")
     found = []
     for short, block in ((16, 256), (16, 8), (1000, 256)):
@@ -137,7 +138,7 @@ def test_long_lists_of_edited_copies(spark, monkeypatch):
         found.append({(r.doc_id, r.first, r.last, r.source_id) for r in substrings.repeated_spans(docs).collect()})
     assert found[0] == found[1] == found[2]
     assert {(d, s) for d, _, _, s in found[0] if d < 100} == {(i, 1) for i in range(2, 62)}
-    # Twins share 58 of 59 words with each other, and 30 with all others and the originals.
+    # Twins share 58 of 59 words with each other, and a passage of the promised length with all others and the originals.
     assert {d for d, _, _, _ in found[0] if d >= 100} == {100 + i for i in range(40)}
 
 
