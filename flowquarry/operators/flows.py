@@ -27,6 +27,10 @@ FIVE_TUPLE = ["flow", "ip_proto"]
 #: Packets of the capture per block; bounds the rows of one (flow, block) group.
 BLOCK_ROWS = 1 << 20
 _COUNTERS = ["http_methods", "http_versions", "body_len", "ftp_login", "ftp_commands"]
+#: What the features need of a packet beside its key and block; all of it numbers and marks.
+PACKET_FACTS = [
+    "seq", "t", "len", "fwd", "ttl", "flags", "win", "tcp_seq", "tcp", "dns", "svc", "proto", "order_sensitive", *_COUNTERS,
+]
 # Numbers instead of names while aggregating: fixed-width buffers keep the aggregate hash based.
 _SERVICES = ["-", *net.SERVICE_PORTS.values(), "smtp"]
 _SERVICES = list(dict.fromkeys(_SERVICES))
@@ -95,6 +99,7 @@ def _where(condition: Column, value: Column) -> Column:
 def flow_base(keyed: DataFrame, key: list[str] = FLOW_KEY) -> DataFrame:
     """Every feature that needs no neighbouring packet, in one hash aggregation."""
     aggs = {
+        "first_seq": "min(seq)",
         "first_time": "min_by(t, seq)",
         "last_time": "max_by(t, seq)",
         "first_fwd": "min_by(fwd, seq)",
@@ -117,7 +122,11 @@ def flow_base(keyed: DataFrame, key: list[str] = FLOW_KEY) -> DataFrame:
         "order_sensitive": "max(order_sensitive)",
         **{f"_{c}": f"sum({c})" for c in _COUNTERS},
     }
-    base = keyed.groupBy(*key).agg(*[F.expr(text).alias(name) for name, text in aggs.items()])
+    return described(keyed.groupBy(*key).agg(*[F.expr(text).alias(name) for name, text in aggs.items()]))
+
+
+def described(base: DataFrame) -> DataFrame:
+    """Names, rates and means from the sums and firsts of a flow, wherever those were gathered."""
     first_time, last_time = F.col("first_time"), F.col("last_time")
     total = F.col("spkts") + F.col("dpkts")
     elapsed = F.when((first_time != 0) & (last_time != 0), last_time - first_time)
@@ -196,12 +205,17 @@ def late_counters(keyed: DataFrame, key: list[str] = FLOW_KEY) -> DataFrame:
 
 def payload_counters(keyed: DataFrame, base: DataFrame, key: list[str] = FLOW_KEY) -> DataFrame:
     """HTTP and FTP counters: plain sums where order cannot matter, gated ones elsewhere."""
+    return chosen_counters(base.join(late_counters(keyed, key), key, "left"))
+
+
+def chosen_counters(flows: DataFrame) -> DataFrame:
+    """The counters of flows that hold both their plain and their gated sums."""
     def counter(name: str, service: str) -> Column:
         plain = F.when(F.col("service") == service, F.col(f"_{name}"))
         gated = F.when(F.col("late_svc") == _SERVICES.index(service), F.col(f"late_{name}"))
         return F.coalesce(F.when(F.col("order_sensitive"), gated).otherwise(plain), F.lit(0))
 
-    return base.join(late_counters(keyed, key), key, "left").withColumns({
+    return flows.withColumns({
         "ct_flw_http_mthd": counter("http_methods", "http").cast("int"),
         "trans_depth": counter("http_versions", "http").cast("int"),
         "response_body_len": counter("body_len", "http").cast("bigint"),
@@ -315,7 +329,13 @@ def flow_features(
 ) -> DataFrame:
     """The flow table: key columns, first and last time, packet count and the 42 features."""
     key = {"endpoints": FLOW_KEY, "five_tuple": FIVE_TUPLE}[key_mode]
-    keyed = keyed_packets(packets, block_rows)
+    return keyed_features(keyed_packets(packets, block_rows), key, orientation, features)
+
+
+def keyed_features(
+    keyed: DataFrame, key: list[str], orientation: str = "canonical", features: str = "compat", extra: list[str] | None = None
+) -> DataFrame:
+    """The flow table of packets that hold their key; ``extra`` names further columns of ``flow_base`` to return."""
     flows = payload_counters(keyed, flow_base(keyed, key), key)
     flows = flows.join(jitter(keyed, key), key, "left")
     flows = compat_constants(flows)
@@ -326,7 +346,7 @@ def flow_features(
     flows = tracking_surrogates(flows)
     if features == "extended":
         flows = recent_connections(flows)
-    return flows.select(*KEY, *key[1:], "first_time", "last_time", "first_fwd", "packets", *feature_columns())
+    return flows.select(*KEY, *key[1:], *(extra or []), "first_time", "last_time", "first_fwd", "packets", *feature_columns())
 
 
 def retransmissions(keyed: DataFrame, key: list[str] = FLOW_KEY) -> DataFrame:

@@ -33,17 +33,19 @@ def _surrogate(name: str) -> str:
     return f"CAST(least({cap}, greatest(1, {amount} // {step})) AS INTEGER) AS {name}"
 
 
-FLOWS_SQL = KEYED_SQL + f""",
+def features_sql(group: str, source: str) -> str:
+    """``fl``: the features of the packets of ``source``, one row per ``group``."""
+    return f""",
 sv AS (
   SELECT *, min(CASE WHEN svc <> '-' THEN seq END) OVER w AS svc_seq, min(CASE WHEN dns THEN seq END) OVER w AS dns_seq,
     arg_min(svc, seq) FILTER (svc <> '-') OVER w AS first_svc
-  FROM kd WINDOW w AS (PARTITION BY {_GROUP})),
-gp AS (SELECT *, abs(t - lag(t) OVER (PARTITION BY {_GROUP}, fwd ORDER BY seq)) AS gap FROM sv),
-gm AS (SELECT *, avg(gap) OVER (PARTITION BY {_GROUP}, fwd) AS gap_mean,
-    count(gap) OVER (PARTITION BY {_GROUP}, fwd) AS n_gaps,
+  FROM {source} WINDOW w AS (PARTITION BY {group})),
+gp AS (SELECT *, abs(t - lag(t) OVER (PARTITION BY {group}, fwd ORDER BY seq)) AS gap FROM sv),
+gm AS (SELECT *, avg(gap) OVER (PARTITION BY {group}, fwd) AS gap_mean,
+    count(gap) OVER (PARTITION BY {group}, fwd) AS n_gaps,
     seq >= svc_seq AND (dns_seq IS NULL OR seq < dns_seq) AS counted FROM gp),
 f0 AS (
-  SELECT {_GROUP}, arg_min(t, seq) AS first_time, arg_max(t, seq) AS last_time, count(*) AS packets,
+  SELECT {group}, min(seq) AS first_seq, arg_min(t, seq) AS first_time, arg_max(t, seq) AS last_time, count(*) AS packets,
     arg_min(fwd, seq) AS first_fwd,
     arg_max(t, seq) - arg_min(t, seq) AS dur,
     arg_min(CASE ip_proto WHEN 6 THEN 'tcp' WHEN 17 THEN 'udp' WHEN 1 THEN 'icmp' ELSE 'other' END, seq) AS proto,
@@ -68,7 +70,7 @@ f0 AS (
     coalesce(sum(m_len) FILTER (counted AND first_svc = 'http'), 0)::BIGINT AS response_body_len,
     coalesce(max(m_login) FILTER (counted AND first_svc = 'ftp'), 0) AS is_ftp_login,
     CAST(coalesce(sum(m_cmd) FILTER (counted AND first_svc = 'ftp'), 0) AS INTEGER) AS ct_ftp_cmd
-  FROM gm GROUP BY {_GROUP}),
+  FROM gm GROUP BY {group}),
 f1 AS (
   SELECT *,
     CASE WHEN proto <> 'tcp' THEN 'INT' WHEN bits & 1 > 0 THEN 'FIN' WHEN bits & 4 > 0 THEN 'RST'
@@ -83,6 +85,8 @@ f1 AS (
   FROM f0),
 fl AS (SELECT *, {", ".join(_surrogate(n) for n in L.SURROGATES)} FROM f1)"""
 
+
+FLOWS_SQL = KEYED_SQL + features_sql(_GROUP, "kd")
 ROUNDED = ["dur", "rate", "sload", "dload", "sinpkt", "dinpkt", "sjit", "djit", "smean", "dmean"]
 _KEYS = ", ".join(L.KEY)
 

@@ -7,12 +7,13 @@ from pyspark.sql import types as T
 
 from flowquarry.operators import flows as L
 from flowquarry.operators import sessions as S
-from flowquarry.plans.flows import KEYED_SQL, _GROUP
+from flowquarry.plans.flows import KEYED_SQL, _GROUP, features_sql, rounded, rounded_sql
 from flowquarry.plans.registry import query
 from flowquarry.plans.views import ALERTS_SQL, PACKETS_SQL, alerts, packets
 from flowquarry.runtime import staging_path
 from flowquarry.sources import captures
-from flowquarry.streaming import jobs, state
+from flowquarry.schemas import FEATURES
+from flowquarry.streaming import flow_state, jobs, state
 
 _FIVE = _GROUP + ", ip_proto"
 _SESSION_SQL = KEYED_SQL + f""",
@@ -56,6 +57,34 @@ def _(spark, folder):
     return S.timed_flows(packets(spark, folder), inactive=1e12, active=200_000.0, close_on_flags=False)
 
 
+def _aged_sql(pause: float, age: float) -> str:
+    """``cu``: packets with the whole timeout rule; a flow is one ``session`` and ``head``."""
+    same = " AND ".join(f"s.{c} = ch.{c}" for c in [*L.KEY, "ip_proto", "session"])
+    mine = ", ".join(f"s.{c}" for c in [*L.KEY, "ip_proto", "session"])
+    return f"""{_sessions_sql(pause)},
+ch AS (SELECT {_FIVE}, session, min(t) AS head FROM ss GROUP BY {_FIVE}, session
+  UNION ALL SELECT {mine}, min(s.t) FROM ss s JOIN ch ON {same} AND s.t > ch.head + {age} GROUP BY {mine}, ch.head),
+cu AS (SELECT s.*, (SELECT max(head) FROM ch WHERE {same} AND ch.head <= s.t) AS head FROM ss s)"""
+
+
+_TIMED = f"{_FIVE}, session, head"
+
+
+@query("timed_flows_documented", "C26", f"WITH RECURSIVE {_aged_sql(15.0, 120.0)}" + _RECORD_SQL.format(source="cu", group="session, head"))
+def _(spark, folder):
+    return S.timed_flows(packets(spark, folder), inactive=15.0, active=120.0)
+
+
+_SHOWN = ["first_seq", "ip_proto", "packets", *FEATURES]
+
+
+@query("timed_flow_features", "C26 C23", f"""WITH RECURSIVE {_aged_sql(40000.0, 200000.0)}{features_sql(_TIMED, "cu")}
+SELECT {_GROUP}, {rounded_sql(_SHOWN)} FROM fl""")
+def _(spark, folder):
+    table = S.timed_features(packets(spark, folder), inactive=40_000.0, active=200_000.0)
+    return table.select(*L.KEY, *rounded(_SHOWN))
+
+
 @query("suppressed_alerts", "I20", f"""WITH RECURSIVE {ALERTS_SQL},
 ch AS (SELECT type, source_ip, min(ts) AS head FROM al GROUP BY ALL
   UNION ALL SELECT a.type, a.source_ip, min(a.ts) FROM al a JOIN ch ON a.type = ch.type
@@ -144,6 +173,32 @@ def _(spark, folder):
     return _run(spark, state.expire_flows(stream, active=None), "expiry")
 
 
+def waves(rows, number):
+    """Consecutive parts of a table by ``seq``."""
+    first, end = rows.agg(F.min("seq"), F.max("seq")).first()
+    step = (end - first) // number + 1
+    return [rows.filter(F.col("seq").between(first + i * step, first + (i + 1) * step - 1)) for i in range(number)]
+
+
+def run_ended(spark, rows, handle, label, pause=40_000.0, age=200_000.0, number=4):
+    """A stream of ended flows over waves of packets: a restart from the checkpoint before each, an end mark at last."""
+    path, kept = staging_path(spark, f"{label}-in"), staging_path(spark, f"{label}-state")
+    for wave in [*waves(rows, number), flow_state.last_packet(rows, pause + age)]:
+        wave.write.mode("append").parquet(path)
+        stream = jobs.read_stream(spark, path, rows.schema)
+        with flow_state.timers(spark):
+            running = jobs.start(flow_state.ended_flows(stream, pause, age), handle, kept)
+        jobs.drain(running)
+
+
+@query("stream_flow_features", "K04 K03 K05", f"""WITH RECURSIVE {_aged_sql(40000.0, 200000.0)}{features_sql(_TIMED, "cu")}
+SELECT {_GROUP}, {rounded_sql(_SHOWN)} FROM fl""")
+def _(spark, folder):
+    out = staging_path(spark, "ended-flows")
+    run_ended(spark, packets(spark, folder).select(*_PACKET_COLUMNS), jobs.into_table(out), "ended")
+    return spark.read.parquet(out).select(*L.KEY, *rounded(_SHOWN))
+
+
 @query("stream_repeated_alerts", "K07", f"""WITH {ALERTS_SQL} SELECT seq, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (
     PARTITION BY type, source_ip ORDER BY ts, seq) <= 86400000000, false) AS repeated FROM al""")
 def _(spark, folder):
