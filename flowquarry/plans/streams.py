@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from flowquarry.operators import flows as L
 from flowquarry.operators import sessions as S
+from flowquarry.plans.detection import detector, shown
 from flowquarry.plans.flows import KEYED_SQL, _GROUP, features_sql, rounded, rounded_sql
 from flowquarry.plans.registry import query
 from flowquarry.plans.views import ALERTS_SQL, PACKETS_SQL, alerts, packets
@@ -180,7 +181,7 @@ def waves(rows, number):
     return [rows.filter(F.col("seq").between(first + i * step, first + (i + 1) * step - 1)) for i in range(number)]
 
 
-def run_ended(spark, rows, handle, label, pause=40_000.0, age=200_000.0, number=4):
+def run_ended(spark, rows, handle, label, pause=40_000.0, age=200_000.0, number=2):
     """A stream of ended flows over waves of packets: a restart from the checkpoint before each, an end mark at last."""
     path, kept = staging_path(spark, f"{label}-in"), staging_path(spark, f"{label}-state")
     for wave in [*waves(rows, number), flow_state.last_packet(rows, pause + age)]:
@@ -199,6 +200,17 @@ def _(spark, folder):
     return spark.read.parquet(out).select(*L.KEY, *rounded(_SHOWN))
 
 
+@query("stream_detection", "K06 A17 H13 H16 L1")
+def _(spark, folder):
+    """Packets to whole flows to verdicts of the fitted detector to alerts; ``alerted`` is read from the alerts written."""
+    model, _ = detector(spark, folder)
+    out = staging_path(spark, "stream-detection")
+    run_ended(spark, packets(spark, folder).select(*_PACKET_COLUMNS), jobs.detection_sink(model, out), "detection")
+    raised = spark.read.parquet(f"{out}/alerts").select(F.col("log_id").alias("id"), F.lit(True).alias("alerted"))
+    scored = shown(spark.read.parquet(f"{out}/scored")).join(raised, "id", "left")
+    return scored.withColumn("alerted", F.coalesce("alerted", F.lit(False)))
+
+
 @query("stream_repeated_alerts", "K07", f"""WITH {ALERTS_SQL} SELECT seq, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (
     PARTITION BY type, source_ip ORDER BY ts, seq) <= 86400000000, false) AS repeated FROM al""")
 def _(spark, folder):
