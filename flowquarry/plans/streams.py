@@ -14,7 +14,7 @@ from flowquarry.plans.views import ALERTS_SQL, PACKETS_SQL, alerts, packets
 from flowquarry.runtime import staging_path
 from flowquarry.sources import captures
 from flowquarry.schemas import FEATURES
-from flowquarry.streaming import flow_state, jobs, state
+from flowquarry.streaming import batches, flow_state, jobs, state
 
 _FIVE = _GROUP + ", ip_proto"
 _SESSION_SQL = KEYED_SQL + f""",
@@ -200,6 +200,32 @@ def _(spark, folder):
     return spark.read.parquet(out).select(*L.KEY, *rounded(_SHOWN))
 
 
+@query("stream_packet_batches", "K01 B04", f"""WITH RECURSIVE {PACKETS_SQL},
+ln AS (SELECT seq % 4 AS lane, seq, epoch_us(ts) AS micros, row_number() OVER (PARTITION BY seq % 4 ORDER BY ts, seq) AS pos FROM pk),
+nx AS (SELECT lane, pos, least(pos + 100, (SELECT coalesce(min(l.pos), 1000000000000) FROM ln l
+    WHERE l.lane = ln.lane AND l.micros > ln.micros + 100000000000)) AS follow FROM ln),
+ch AS (SELECT lane, 0 AS batch, 1::BIGINT AS pos FROM ln GROUP BY lane
+  UNION ALL SELECT nx.lane, batch + 1, follow FROM ch JOIN nx ON nx.lane = ch.lane AND nx.pos = ch.pos
+    WHERE follow <= (SELECT max(pos) FROM ln WHERE ln.lane = nx.lane))
+SELECT ln.lane, ch.batch::BIGINT AS number, CASE WHEN count(*) = 100 THEN 'size' ELSE 'time' END AS reason, count(*)::INTEGER AS packets,
+  sum(seq)::BIGINT AS seq_sum
+FROM ch JOIN nx ON nx.lane = ch.lane AND nx.pos = ch.pos JOIN ln ON ln.lane = ch.lane AND ln.pos >= ch.pos AND ln.pos < follow
+GROUP BY ln.lane, ch.batch""")
+def _(spark, folder):
+    """Four lanes of packets in batches of 100, or of 100,000 seconds on the capture clock; an end mark lets the last ones out."""
+    rows = packets(spark, folder).select(*_PACKET_COLUMNS)
+    path, kept, out = (staging_path(spark, f"batches-{n}") for n in ("in", "state", "out"))
+    for wave in [*waves(rows, 2), flow_state.last_packet(rows, 200_000.0)]:
+        wave.write.mode("append").parquet(path)
+        lanes = jobs.read_stream(spark, path, rows.schema).withColumn("lane", F.when(F.col("ip_proto") == 255, -1).otherwise(F.col("seq") % 4))
+        made = batches.packet_batches(lanes.withColumn("lane", F.col("lane").cast("long")), ["lane"], wait=100_000.0, clock="capture")
+        with flow_state.timers(spark):
+            running = jobs.start(made, jobs.into_table(out), kept)
+        jobs.drain(running)
+    total = F.aggregate("seqs", F.lit(0).cast("long"), lambda a, b: a + b)
+    return spark.read.parquet(out).select("lane", "number", "reason", "packets", total.alias("seq_sum"))
+
+
 @query("stream_detection", "K06 A17 H13 H16 L1")
 def _(spark, folder):
     """Packets to whole flows to verdicts of the fitted detector to alerts; ``alerted`` is read from the alerts written."""
