@@ -141,13 +141,25 @@ def sms_text() -> Column:
     )
 
 
-def mail_body() -> Column:
-    upper = F.upper("severity")
+# The lines of a mail and the line before the alert's details.
+DETAILS_LINE = "Détails supplémentaires:"
+DETAILS = [
+    "id", "type", "type_description", "message", "timestamp", "severity", "severity_score", "confidence", "source_ip", "destination_ip",
+    "source_info", "destination_info", "processed_at", "status", "acknowledged", "false_positive",
+]
+
+
+def mail_body(details: Sequence[str] = DETAILS) -> Column:
+    """The mail's text; its last line is the alert as JSON, missing values as null."""
+    processed = F.date_format("processed_at", "yyyy-MM-dd'T'HH:mm:ss")
+    shown = [processed.alias(c) if c == "processed_at" else F.col(c) for c in details]
     lines = [
         F.lit("ALERTE IDS DÉTECTÉE"), F.concat(F.lit("ID: "), "id"),
-        F.concat(F.lit("Type: "), "type_description"), F.concat(F.lit("Sévérité: "), upper),
+        F.concat(F.lit("Type: "), "type_description"), F.concat(F.lit("Sévérité: "), F.upper("severity")),
         F.concat(F.lit("Score: "), F.col("severity_score").cast("string"), F.lit(f"/{MAX_SCORE}")),
         F.concat(F.lit("Message: "), "message"), F.concat(F.lit("Timestamp: "), "timestamp"),
+        F.concat(F.lit("Traité le: "), processed), F.lit(DETAILS_LINE),
+        F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}),
     ]
     return F.concat_ws("\n", *lines)
 

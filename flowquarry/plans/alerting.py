@@ -113,10 +113,24 @@ def _(spark, folder):
   'IDS ALERT: ' || upper(severity) || ' - ' || type || ' - ' || substring(message, 1, 100) AS sms,
   'ALERTE IDS DÉTECTÉE' || chr(10) || 'ID: ' || id || chr(10) || 'Type: ' || type_description || chr(10)
     || 'Sévérité: ' || upper(severity) || chr(10) || 'Score: ' || CAST(severity_score AS VARCHAR) || '/5' || chr(10)
-    || 'Message: ' || message || chr(10) || 'Timestamp: ' || timestamp AS body FROM pr""")
+    || 'Message: ' || message || chr(10) || 'Timestamp: ' || timestamp || chr(10) || 'Traité le: {NOW.replace(" ", "T")}' || chr(10) AS body,
+  id, type, type_description, message, timestamp, severity, severity_score, confidence, source_ip, destination_ip,
+  CASE WHEN source_ip IS NOT NULL THEN {_PRIVATE_SQL} END AS source_private, true AS destination_private,
+  '{NOW.replace(" ", "T")}' AS processed_at, 'new' AS status, false AS acknowledged, false AS false_positive FROM pr""")
 def _(spark, folder):
-    return _processed(spark, folder).select(
-        "seq", I.subject().alias("subject"), I.sms_text().alias("sms"), I.mail_body().alias("body")
+    """The details are read back from the JSON that ends the mail."""
+    place = "struct<ip:string,is_private:boolean,country:string,organization:string>"
+    special = {"severity_score": "int", "confidence": "double", "source_info": place, "destination_info": place,
+               "acknowledged": "boolean", "false_positive": "boolean"}
+    schema = ", ".join(f"{c} {special.get(c, 'string')}" for c in I.DETAILS)
+    made = _processed(spark, folder).select(
+        "seq", I.subject().alias("subject"), I.sms_text().alias("sms"), F.split(I.mail_body(), I.DETAILS_LINE, 2).alias("mail")
+    )
+    read = made.select("seq", "subject", "sms", F.col("mail")[0].alias("body"), F.from_json(F.col("mail")[1], schema).alias("d"))
+    plain = [c for c in I.DETAILS if not c.endswith("_info")]
+    return read.select(
+        "seq", "subject", "sms", "body", *[f"d.{c}" for c in plain],
+        F.col("d.source_info.is_private").alias("source_private"), F.col("d.destination_info.is_private").alias("destination_private"),
     )
 
 
