@@ -7,9 +7,13 @@ from a pattern to its sources, and an arc per source with its quota. The flow
 fixes how many words each pattern gives to each source; documents are then
 selected in a seeded random order.
 
-Only sums per pattern reach the driver; ``MOST_PATTERNS`` bounds them, and more
-raise an error. Documents are never shuffled with their text: the selection is
-turned into hash thresholds per pattern, and a document decides for itself.
+Sums, targets and thresholds are tables, so there may be any number of sources. A
+pattern of a single source that overlaps with no other needs no network: it gives
+what its target asks. Only the patterns of sources that are connected by overlaps
+meet, one row each, and their flow is found in one task per connected group. The
+driver sees totals. Documents are never shuffled with their text for the
+selection: it is turned into hash thresholds per pattern, and a document decides
+for itself.
 """
 
 from __future__ import annotations
@@ -18,12 +22,13 @@ import math
 from collections import deque
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowquarry.llm.common import WORD, discard, staged, unused
-
-MOST_PATTERNS = 10_000
+from flowquarry.llm.components import connected
+from flowquarry.operators.ordered import arrange, row_numbers
 
 Pattern = tuple[str | None, ...]
 
@@ -39,7 +44,10 @@ def source_order(sources: Sequence[str | None]) -> list[str | None]:
 
 
 def shared_targets(sizes: Sequence[int], weights: Sequence[float], total: float, most: float) -> list[float]:
-    """``total`` shared by weight; what exceeds ``most`` times a size is shared again among the others."""
+    """``total`` shared by weight; what exceeds ``most`` times a size is shared again among the others.
+
+    The plain form for a short list; ``with_targets`` is the same for a table.
+    """
     targets, free = [0.0] * len(sizes), set(range(len(sizes)))
     rest = float(total)
     while free:
@@ -56,6 +64,26 @@ def shared_targets(sizes: Sequence[int], weights: Sequence[float], total: float,
     return targets
 
 
+def with_targets(sources: DataFrame, total: float, most: float) -> DataFrame:
+    """``sources`` (``size``, ``weight``) with ``target``, as ``shared_targets``; an aggregate a round.
+
+    A share only grows from round to round, so a source that was stopped stays so, and a round without a
+    newly stopped one is the last.
+    """
+    bound = F.lit(most) * F.col("size")
+    rest, weight = float(total), sources.agg(F.sum("weight")).first()[0] or 0.0
+    stopped, over = 0, F.lit(False)
+    while weight > 0:
+        over = F.lit(rest) * F.col("weight") / F.lit(weight) > bound
+        free = F.when(~over, F.col("weight"))
+        found = sources.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("size"))).alias("size"), F.sum(free).alias("weight")).first()
+        if found["n"] == stopped:
+            break
+        stopped, rest, weight = found["n"], total - most * (found["size"] or 0), found["weight"] or 0.0
+    share = F.lit(rest) * F.col("weight") / F.lit(weight) if weight > 0 else bound
+    return sources.withColumn("target", F.when(over, bound).otherwise(share).cast("double"))
+
+
 def flow(words: dict[Pattern, int], quotas: dict[str | None, int], copies: int) -> dict[tuple[Pattern, str | None], int]:
     """Words each pattern gives to each source: a maximum flow of least cost, the r-th copy of a word costing r.
 
@@ -108,6 +136,58 @@ def flow(words: dict[Pattern, int], quotas: dict[str | None, int], copies: int)
     return {k: arcs[a ^ 1][1] for k, a in given.items() if arcs[a ^ 1][1]}
 
 
+_STRETCH = "pattern array<string>, source string, words long, begin long, end long"
+
+
+def _connected_flow(copies: int):
+    """The flow of one connected group of patterns and sources, as stretches of each pattern's copies."""
+    names = [c.split()[0] for c in _STRETCH.split(", ")]
+
+    def solve(patterns: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
+        found = {tuple(source_order(list(p))): int(n) for p, n in zip(patterns["pattern"], patterns["words"], strict=True)}
+        words = {p: found[p] for p in sorted(found, key=lambda p: [(s is None, s or "") for s in p])}
+        quotas = {s: int(q) for s, q in zip(sources["source"], sources["quota"], strict=True)}
+        given, rows = flow(words, {s: quotas[s] for s in source_order(quotas)}, copies), []
+        for p, n in words.items():
+            at = 0
+            for s in p:
+                amount = given.get((p, s), 0)
+                if amount:
+                    rows.append((list(p), s, n, at, at + amount))
+                at += amount
+        return pd.DataFrame(rows, columns=names)
+
+    return solve
+
+
+def _stretches(sums: DataFrame, members: DataFrame, sources: DataFrame, copies: int) -> DataFrame:
+    """Which words of which copies of a pattern go to which source."""
+    sources = sources.withColumn("quota", F.rint("target").cast("long"))
+    wide = members.where(F.size("pattern") > 1).select("pattern", "source")
+    if wide.isEmpty():
+        alone = sources
+    else:
+        number = wide.join(sources.select(F.col("source").alias("s"), "rn"), F.col("source").eqNullSafe(F.col("s"))).select("pattern", "rn")
+        ends = number.withColumn("a", F.min("rn").over(Window.partitionBy("pattern")))
+        groups = connected(ends, "a", "rn")
+        sources = staged(sources.join(groups.withColumnRenamed("node", "rn"), "rn", "left"), "grouped")
+        discard(groups)
+        alone = sources.where("label IS NULL")
+    # A source of its own: its single pattern gives what it is asked, the first copy first.
+    plain = alone.select(
+        F.array("source").alias("pattern"), "source", F.col("size").alias("words"), F.lit(0).cast("long").alias("begin"),
+        F.least("quota", F.col("size") * copies).alias("end"),
+    )
+    if alone is sources:
+        return plain
+    first = sums.where(F.size("pattern") > 0).withColumn("s", F.col("pattern")[0])
+    linked = sources.where("label IS NOT NULL")
+    patterns = first.join(linked.select("source", "label"), F.col("s").eqNullSafe(F.col("source")))
+    patterns = patterns.select(F.col("label").alias("of"), "pattern", "words")
+    quotas = linked.select("label", "source", "quota")
+    return plain.unionByName(patterns.groupBy("of").cogroup(quotas.groupBy("label")).applyInPandas(_connected_flow(copies), _STRETCH))
+
+
 def _order(docs: DataFrame, seed: int) -> Column:
     """Place of a document in the seeded order; rows without doc_id are told apart by their text."""
     return F.xxhash64(F.lit(seed), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text")))
@@ -133,33 +213,28 @@ def mix(
     narrow = staged(
         docs.select(pattern.alias("pattern"), word_count(F.col("text")).alias("size"), _order(docs, seed).alias("h")), "sizes"
     )
-    sums = narrow.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
-    found = sums.limit(MOST_PATTERNS + 1).collect()
-    if len(found) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
-    words = {tuple(source_order(r.pattern)): int(r.words) for r in sorted(found, key=lambda r: str(r.pattern))}
-    names = source_order({s for p in words for s in p})
-    sizes = [sum(n for p, n in words.items() if s in p) for s in names]
-    shares = [float(weights[i % len(weights)]) for i in range(len(names))]
-    goals = shared_targets(sizes, shares, total * sum(words.values()), copies)
-    given = flow(words, {s: round(g) for s, g in zip(names, goals, strict=True)}, copies)
-
-    pieces = []  # pattern, source, from, to: a stretch of the seeded order of one copy, in words
-    for p, size in words.items():
-        at = 0
-        for s in p:
-            end = at + given.get((p, s), 0)
-            while at < end:
-                stop = min(end, (at // size + 1) * size)
-                pieces.append((list(p), s, at - at // size * size, stop - at // size * size, stop % size == 0))
-                at = stop
-    spark = docs.sparkSession
-    schema = "pattern array<string>, source string, first long, last long, whole boolean"
-    table = spark.createDataFrame(pieces, schema).withColumn("pattern", F.array_sort("pattern"))
+    sums = staged(narrow.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "patterns")
+    all_docs = sums.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("docs"), F.lit(0)).alias("docs")).first()
+    members = sums.select("pattern", "words", F.explode("pattern").alias("source"))
+    facts = members.groupBy("source").agg(F.sum("words").alias("size"))
+    ranked = row_numbers(arrange(facts, F.col("source").isNull(), "source")).select("source", "size", "rn")
+    cycle = F.array(*[F.lit(float(w)) for w in weights])
+    ranked = ranked.withColumn("weight", F.element_at(cycle, ((F.col("rn") - 1) % len(weights) + 1).cast("int")))
+    ranked = staged(ranked, "sources")
+    named = staged(with_targets(ranked, total * all_docs["words"], copies), "targets")
+    discard(ranked)
+    given = staged(_stretches(sums, members, named, copies), "stretches")
+    # A stretch within one copy, in words from the start of the pattern's seeded order.
+    copy = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy")
+    from_, to = F.greatest("begin", F.col("copy") * F.col("words")), F.least("end", (F.col("copy") + 1) * F.col("words"))
+    table = given.select("*", copy).select("pattern", "source", "copy", "words", from_.alias("first"), to.alias("last")).where("first < last")
+    offset = F.col("copy") * F.col("words")
+    table = table.select("pattern", "source", (F.col("first") - offset).alias("first"), (F.col("last") - offset).alias("last"),
+                         (F.col("last") - offset == F.col("words")).alias("whole"))
 
     # Start of each document in its pattern's order: sums of earlier blocks of hashes, plus those before it in its block.
     # As many blocks as documents in one: neither windows over blocks nor windows within a block get long.
-    blocks = max(1, math.isqrt(sum(r.docs for r in found)))
+    blocks = max(1, math.isqrt(all_docs["docs"]))
     block = F.shiftright(F.col("h"), 33) + F.lit(1 << 30)  # 0 to 2^31 - 1, in the order of h
     placed = narrow.withColumn("block", F.floor(block * F.lit(float(blocks)) / F.lit(float(1 << 31))).cast("long"))
     earlier = placed.groupBy("pattern", "block").agg(F.sum("size").alias("words"))
@@ -177,26 +252,25 @@ def mix(
     high = cuts.select("pattern", F.col("cut").alias("last"), F.coalesce("h", lowest).alias("high"))
     ranges = table.join(low, ["pattern", "first"], "left").join(high, ["pattern", "last"], "left")
     ranges = ranges.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("first", "last", "source", "low", "high"))).alias("ranges"))
-    ranges = staged(ranges, "thresholds")
-    discard(narrow)
+    kind = "array<struct<source:string,size:bigint,target:double>>"
+    fact = F.struct(F.col("s").isNull().alias("last"), F.col("s").alias("source"), F.col("size"), F.col("target"))
+    told = members.join(named.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    told = told.groupBy("pattern").agg(F.array_sort(F.collect_list(fact)).alias("targets"))
+    told = told.withColumn("targets", F.transform("targets", lambda t: t.dropFields("last")).cast(kind))
+    ranges = staged(told.join(ranges, "pattern", "left").select("pattern", F.struct("ranges", "targets").alias("told")), "thresholds")
+    discard(narrow, sums, named, given)
 
     key, mine, hit = (unused(n, [*docs.columns, mixed]) for n in ("_pattern", "_ranges", "_h"))
     out = docs.withColumn(key, pattern).withColumn(hit, _order(docs, seed))
     out = out.join(ranges.toDF(key, mine), key, "left")
     homes = F.transform(
         F.filter(
-            F.col(mine),
+            F.col(mine)["ranges"],
             lambda r: (r["low"].isNull() | (F.col(hit) > r["low"])) & (r["high"].isNull() | (F.col(hit) <= r["high"])),
         ),
         lambda r: r["source"],
     )
-    facts = [F.struct(F.lit(s).alias("source"), F.lit(n).cast("long").alias("size"), F.lit(g).alias("target"))
-             for s, n, g in zip(names, sizes, goals, strict=True)]
-    kind = "array<struct<source:string,size:bigint,target:double>>"
-    targets = F.filter(F.array(*facts).cast(kind), lambda r: F.array_position(F.col(key), r["source"]) > 0)
-    if None in names:
-        last = F.array(facts[-1]).cast(kind)
-        targets = F.concat(targets, F.when(F.exists(F.col(key), lambda s: s.isNull()), last).otherwise(F.array().cast(kind)))
+    targets = F.coalesce(F.col(mine)["targets"], F.array().cast(kind))
     struct = F.struct(
         word_count(F.col("text")).alias("size"), F.coalesce(homes, F.array().cast("array<string>")).alias("homes"),
         targets.alias("targets"),

@@ -85,3 +85,52 @@ def test_edge_rows(spark):
 def test_targets_stop_at_twice_the_size():
     assert mixing.shared_targets([10, 100, 100], [3, 1, 2], 315, 2) == [20, pytest.approx(295 / 3), pytest.approx(590 / 3)]
     assert mixing.shared_targets([], [], 0, 2) == [] and mixing.shared_targets([0, 0], [1, 1], 0, 2) == [0, 0]
+
+
+def test_targets_of_a_table(spark):
+    rows = [(i, (i * 7919) % 1000 + (5000 if i % 11 == 0 else 0), float((3, 1, 2)[i % 3])) for i in range(200)]
+    table = spark.createDataFrame(rows, "n long, size long, weight double")
+    total = 1.5 * sum(r[1] for r in rows)
+    got = {r.n: r.target for r in mixing.with_targets(table, total, 2).collect()}
+    want = mixing.shared_targets([r[1] for r in rows], [r[2] for r in rows], total, 2)
+    assert [got[r[0]] for r in rows] == pytest.approx(want) and len({t == 2 * r[1] for t, r in zip(want, rows, strict=True)}) == 2
+    assert mixing.with_targets(table.where("1 = 0"), 0, 2).count() == 0
+    assert {r.target for r in mixing.with_targets(table.withColumn("size", F.lit(0)), 0, 2).collect()} == {0}
+
+
+def test_fifty_thousand_sources(spark):
+    """More sources than any driver list should hold; a third of the words in one of them, some overlapping in pairs."""
+    n = 50_000
+    docs = spark.range(2 * n + n // 50).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 5 + 1).cast("int")).alias("text"),
+        F.when(F.col("id") % 3 == 0, F.array(F.lit("hot")))
+        .when(F.col("id") < 2 * n, F.array(F.format_string("site%06d", F.col("id") % n)))
+        .otherwise(F.array(F.format_string("site%06d", F.col("id") % n), F.format_string("site%06d", F.col("id") % n + 1))).alias("of"),
+    )
+    rows = mixing.mix(docs, F.col("of")).collect()
+    size, taken, target = defaultdict(int), defaultdict(int), {}
+    for r in rows:
+        assert set(r.mixed.homes) <= set(r.of) and len(r.mixed.homes) <= 2
+        for t in r.mixed.targets:
+            target[t.source] = t.target
+            size[t.source] += r.mixed["size"]
+        for home in r.mixed.homes:
+            taken[home] += r.mixed["size"]
+    names = sorted(size)
+    weights = [(3, 1, 2)[i % 3] for i in range(len(names))]
+    want = plain_targets_sorted([size[s] for s in names], weights, 1.5 * sum(r.mixed["size"] for r in rows), 2)
+    assert len(names) > 40_000 and [target[s] for s in names] == pytest.approx(want)
+    shared = {s for r in rows if len(r.of) > 1 for s in r.of}
+    assert len(shared) > 900 and all(abs(taken[s] - target[s]) <= 5 / 2 + 1 for s in names if s not in shared)
+    # Every source of a group is stopped here: the largest flow takes all documents of the groups as often as allowed.
+    assert all(target[s] == 2 * size[s] for s in shared)
+    assert all(len(r.mixed.homes) == 2 for r in rows if shared & set(r.of))
+
+
+def plain_targets_sorted(sizes, weights, total, most):
+    """Stopped sources are those of least size per weight: found one by one, in that order."""
+    left, rest, out = sum(weights), total, [0.0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: sizes[i] / weights[i]):
+        out[i] = min(most * sizes[i], rest * weights[i] / left)
+        rest, left = rest - out[i], left - weights[i]
+    return out
