@@ -58,16 +58,16 @@ def store(path: str) -> tuple[fs.FileSystem, str]:
 class Source:
     """A file read forwards in chunks."""
 
-    def __init__(self, path: str, length: int):
+    def __init__(self, path: str, length: int, chunk: int = _CHUNK):
         system, name = store(path)
-        self.file, self.length = system.open_input_file(name), length
-        self.at, self.held = 0, b""
+        self.file, self.length, self.chunk = system.open_input_file(name), length, min(max(chunk, 1 << 12), _CHUNK)
+        self.at, self.held = 0, self.file.read(24)
 
     def spot(self, at: int, size: int) -> int:
         """Place in ``held`` of the bytes from ``at``; they must lie inside the file."""
         if at < self.at or at + size > self.at + len(self.held):
             self.file.seek(at)
-            self.held, self.at = self.file.read(min(max(size, _CHUNK), self.length - at)), at
+            self.held, self.at = self.file.read(min(max(size, self.chunk), self.length - at)), at
         return at - self.at
 
     def take(self, at: int, size: int) -> bytes:
@@ -97,7 +97,7 @@ class Classic:
         while at < stop:
             if at + 16 > source.length:
                 raise Damaged("record header cut off")
-            seconds, fraction, size, _ = self.head.unpack_from(source.held, source.spot(at, 16))
+            seconds, fraction, size, _ = self.head.unpack(source.take(at, 16))
             if at + 16 + size > source.length:
                 raise Damaged("record cut off")
             yield seconds + fraction / self.ticks, self.link, at + 16, size, at + 16 + size
@@ -107,7 +107,7 @@ class Classic:
         """Where the record after a plausible one begins, else -1; and the byte order from there on."""
         if at + 16 > source.length:
             return -1, order
-        _, fraction, size, whole = self.head.unpack_from(source.held, source.spot(at, 16))
+        _, fraction, size, whole = self.head.unpack(source.take(at, 16))
         fine = 0 < size <= min(whole, LONGEST) and fraction < self.ticks and at + 16 + size <= source.length
         return (at + 16 + size if fine else -1), order
 
@@ -245,7 +245,7 @@ def _form(source: Source) -> Classic | Blocks | None:
 
 def _walked(path: str, length: int, first: int, stop: int, start: int, order: str | None, size: int) -> Iterator[tuple]:
     """Rows of ``_WALK`` for the ranges of ``size`` bytes between ``first`` and ``stop``; a ``start`` of -1 is guessed."""
-    with Source(path, length) as source:
+    with Source(path, length, stop - first) as source:
         form = _form(source)
         if form is None:
             yield path, length, first, stop, 0 if first == 0 else -1, "", 0, -1, "[]", "", False, "not a capture file"
@@ -361,7 +361,7 @@ def read_ranges(plan: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def _read(row: dict, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    with Source(row["path"], row["length"]) as source:
+    with Source(row["path"], row["length"], row["stop"] - row["first"]) as source:
         form = _form(source)
         if form is None:
             return
