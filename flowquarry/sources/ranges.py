@@ -107,9 +107,13 @@ class Classic:
         """Where the record after a plausible one begins, else -1; and the byte order from there on."""
         if at + 16 > source.length:
             return -1, order
-        _, fraction, size, whole = self.head.unpack(source.take(at, 16))
-        fine = 0 < size <= min(whole, LONGEST) and fraction < self.ticks and at + 16 + size <= source.length
-        return (at + 16 + size if fine else -1), order
+        seconds, fraction, size, whole = self.head.unpack(source.take(at, 16))
+        end = at + 16 + size
+        fine = 0 < size <= min(whole, LONGEST) and fraction < self.ticks and end <= source.length
+        if fine and end + 16 <= source.length:
+            # Wrong places often lead to a right one further on, but their time differs from the next.
+            fine = abs(self.head.unpack(source.take(end, 16))[0] - seconds) <= 86_400
+        return (end if fine else -1), order
 
     def guess(self, source: Source, first: int, stop: int) -> tuple[int, str]:
         """First place from which plausible records follow, else -1; and its byte order."""
