@@ -33,3 +33,17 @@ def test_batch_csv_and_reloaded_detectors_agree(spark):
     assert {r.log_id for r in raised} == {i for i, r in batch.items() if r.is_attack and r.confidence >= 0.7}
     partial = D.load(spark, path, ("mlp", "never_saved"))
     assert set(partial.models) == {"mlp"}
+
+
+def test_flows_are_made_once(spark, folder, monkeypatch):
+    """Categories, scaler, tree and result read stored flows; before, each of them went back to the packets."""
+    from flowquarry.plans import detection as P
+    from flowquarry.plans.registry import CATALOGUE
+
+    sent = []
+    fit = P._unfitted
+    monkeypatch.setattr(P, "_unfitted", lambda rows: sent.append(rows) or fit(rows))
+    for name in ("prepared_flows", "detection_neighbours"):
+        assert CATALOGUE[name].build(spark, folder).count() > 0
+    for rows in sent:
+        assert "parquet" not in rows._jdf.queryExecution().executedPlan().toString().lower()
